@@ -65,7 +65,7 @@ def whole(name: str) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size: file sizes for a scan. For partition counts only."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 1 << 30
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tatterloom.llm.bpe_automaton import encoded_digests
 from tatterloom.llm.decontaminate import contamination
 from tatterloom.llm.exact_dedup import duplicate_decisions
 from tatterloom.llm.simhash import near_duplicates
@@ -66,11 +68,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_decontamination": op4_decontamination,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_bpe_automaton": op9_bpe_automaton,
     }
 
 

@@ -213,6 +213,16 @@ def encoded_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     return _mapped(docs, tokenizer, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
 
 
+def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As encoded_digests(), with the ids too."""
+
+    def both(ids: list[int], text: str) -> tuple:
+        line = ",".join(map(str, ids))
+        return ids, len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    return _mapped(docs, tokenizer, id_col, text_col, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", both)
+
+
 def _mapped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns: str, out) -> DataFrame:
     spark = docs.sparkSession
     spec, closed = _compiled(tokenizer)

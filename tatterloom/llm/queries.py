@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tatterloom.llm.bpe_automaton import encoded_digests
 from tatterloom.llm.decontaminate import contamination
 from tatterloom.llm.exact_dedup import duplicate_decisions
+from tatterloom.llm.quality import quality_scores
 from tatterloom.llm.simhash import near_duplicates
 
 
@@ -33,6 +34,10 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,6 +80,7 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_decontamination": op4_decontamination,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_bpe_automaton": op9_bpe_automaton,

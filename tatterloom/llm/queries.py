@@ -13,6 +13,7 @@ from tatterloom.llm.decontaminate import contamination
 from tatterloom.llm.exact_dedup import duplicate_decisions
 from tatterloom.llm.quality import quality_scores
 from tatterloom.llm.simhash import near_duplicates
+from tatterloom.llm.token_stream import read_stream, write_stream
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op5_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_stream(write_stream(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("_row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op4_decontamination": op4_decontamination,
+        "op5_token_stream": op5_token_stream,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_bpe_automaton": op9_bpe_automaton,
     }

@@ -14,6 +14,7 @@ from tatterloom.llm.exact_dedup import duplicate_decisions
 from tatterloom.llm.quality import quality_scores
 from tatterloom.llm.simhash import near_duplicates
 from tatterloom.llm.token_stream import read_stream, write_stream
+from tatterloom.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,20 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS top FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -90,8 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_stream": op5_token_stream,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_bpe_automaton": op9_bpe_automaton,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op10_warc": OP10_SQL}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tatterloom.llm.bpe_automaton import encoded_digests
 from tatterloom.llm.decontaminate import contamination
 from tatterloom.llm.exact_dedup import duplicate_decisions
+from tatterloom.llm.html_text import extracted
 from tatterloom.llm.quality import quality_scores
 from tatterloom.llm.simhash import near_duplicates
 from tatterloom.llm.token_stream import read_stream, write_stream
@@ -74,6 +75,10 @@ def op5_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stream(write_stream(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("_row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": op2_quality_classifier,
         "op4_decontamination": op4_decontamination,
         "op5_token_stream": op5_token_stream,
+        "op6_html_text": op6_html_text,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_bpe_automaton": op9_bpe_automaton,
         "op10_warc": op10_warc,

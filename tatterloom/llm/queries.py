@@ -14,6 +14,7 @@ from tatterloom.llm.exact_dedup import duplicate_decisions
 from tatterloom.llm.html_text import extracted
 from tatterloom.llm.quality import quality_scores
 from tatterloom.llm.simhash import near_duplicates
+from tatterloom.llm.substring_dedup import repeat_digests
 from tatterloom.llm.token_stream import read_stream, write_stream
 from tatterloom.llm.warc import archived
 
@@ -84,6 +85,21 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
+r AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (
+  SELECT doc_id, unnest(range(k, k + 35)) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -110,10 +126,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_stream": op5_token_stream,
         "op6_html_text": op6_html_text,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_bpe_automaton": op9_bpe_automaton,
         "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op10_warc": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_decontamination": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL}

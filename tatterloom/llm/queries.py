@@ -12,6 +12,7 @@ from tatterloom.llm.bpe_automaton import encoded_digests
 from tatterloom.llm.decontaminate import contamination
 from tatterloom.llm.exact_dedup import duplicate_decisions
 from tatterloom.llm.html_text import extracted
+from tatterloom.llm.kneser_ney import language_scores
 from tatterloom.llm.quality import quality_scores
 from tatterloom.llm.simhash import near_duplicates
 from tatterloom.llm.substring_dedup import repeat_digests
@@ -42,6 +43,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -122,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_kneser_ney": op3_kneser_ney,
         "op4_decontamination": op4_decontamination,
         "op5_token_stream": op5_token_stream,
         "op6_html_text": op6_html_text,

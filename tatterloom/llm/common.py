@@ -79,13 +79,13 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
     """docs without the rows that decisions (_row_id, _row_hash, kept; a written table, a row per row of docs) drops.
 
-    Rows that repeat id and text share a key: of such rows, as many stay as one if any is kept, none otherwise.
+    Rows that repeat id and text share a key: if any of them is kept, one stays with `once`, else all; otherwise none.
     """
-    keys = decisions.groupBy("_row_id", "_row_hash").agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"), F.count_if("kept").alias("_kept"))
-    keys = written(keys.where(~F.col("_any") | (F.col("_kept") < F.col("_n"))), "keys")
+    keys = decisions.groupBy("_row_id", "_row_hash").agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
+    keys = written(keys.where(~F.col("_any") | (F.lit(once) & (F.col("_n") > 1))), "keys")
     own = docs.columns
     tagged = docs.withColumns({"_row_hash": F.xxhash64(whole(text_col))})
     same = (F.col(id_col).eqNullSafe(F.col("_r._row_id"))) & (tagged["_row_hash"] == F.col("_r._row_hash"))

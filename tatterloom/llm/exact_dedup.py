@@ -76,4 +76,4 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; see duplicate_decisions."""
-    return keep_rows(docs, written(duplicate_decisions(docs, id_col, text_col).select("_row_id", "_row_hash", "kept"), "decisions"), id_col, text_col)
+    return keep_rows(docs, written(duplicate_decisions(docs, id_col, text_col).select("_row_id", "_row_hash", "kept"), "decisions"), id_col, text_col, once=True)

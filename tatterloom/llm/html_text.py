@@ -181,9 +181,13 @@ def _region(lines: Lines) -> list[str]:
 
 def main_text(html: str | None) -> str:
     """The page's main text: blocks joined by two line feeds; empty if there is none, also for null."""
+    html = html or ""
+    cut = html.rfind("<")
+    if cut > html.rfind(">") and (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!")):
+        html = html[:cut]  # a tag that the page's end cuts off
     for keep_forms in (False, True):  # a form may wrap the whole page
         lines = Lines(keep_forms)
-        lines.feed(html or "")
+        lines.feed(html)
         lines.close()
         found = _region(lines)
         if found or "form" not in lines.elements:

@@ -177,8 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = rows.schema["_id"].dataType.simpleString()
     found = rows.select("_id", "_y", "text").mapInArrow(run, f"_id {kind}, _y int, x array<double>").orderBy(F.xxhash64("_id"), "_id", "x").limit(most).toArrow()
     y = found["_y"].to_numpy().astype(float)
-    x = np.array(found["x"].to_pylist(), float).reshape(len(y), -1)
-    return fit(x, y)
+    return fit(np.array(found["x"].to_pylist(), float).reshape(len(y), -1) if len(y) else np.zeros((0, 0)), y)
 
 
 def scored(docs: DataFrame, trees: Trees, text_col: str = "text", accept: float | None = None) -> DataFrame:

@@ -226,4 +226,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The row with the smallest id of each group, with all its columns; of rows that repeat it, one."""
     found = near_duplicates(docs, id_col, text_col)
     first = F.col("_row_id").eqNullSafe(F.col("component_id"))
-    return keep_rows(docs, written(found.select("_row_id", "_row_hash", first.alias("kept")), "decisions"), id_col, text_col)
+    return keep_rows(docs, written(found.select("_row_id", "_row_hash", first.alias("kept")), "decisions"), id_col, text_col, once=True)

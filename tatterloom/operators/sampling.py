@@ -79,6 +79,6 @@ def signatures(sample: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
 
 
 def first_headers(lines: DataFrame) -> DataFrame:
-    """(file_id, delimiter, headers): the first line of each file that isn't blank, split by its own delimiter."""
+    """(file_id, header_line, delimiter, headers): the first line of each file that isn't blank, split by its own delimiter."""
     first = lines.where(strip(F.col("raw")) != "").groupBy("file_id").agg(F.min_by("raw", "line_no").alias("raw")).withColumn("delimiter", detect_delimiter(F.col("raw")))
-    return first.select("file_id", "delimiter", F.transform(split_line(F.col("raw"), F.col("delimiter")), strip).alias("headers"))
+    return first.select("file_id", F.col("raw").alias("header_line"), "delimiter", F.transform(split_line(F.col("raw"), F.col("delimiter")), strip).alias("headers"))

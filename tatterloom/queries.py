@@ -145,7 +145,7 @@ _FIRST = f"SELECT doc_id, arg_min(raw, line_no) AS raw FROM (SELECT doc_id, unne
     f"len(raw) - len(replace(raw, ';', '')) AS s, len(raw) - len(replace(raw, chr(9), '')) AS t, len(raw) - len(replace(raw, '|', '')) AS p FROM ({_FIRST})))"
 )
 def header_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.first_headers(_doc_lines(spark, sf_dir).withColumnRenamed("doc_id", "file_id")).withColumn("headers", F.array_join("headers", "~"))
+    return sampling.first_headers(_doc_lines(spark, sf_dir).withColumnRenamed("doc_id", "file_id")).withColumn("headers", F.array_join("headers", "~")).drop("header_line")
 
 
 @query(f"SELECT file_id, len(cells)::INT AS width, count(*) AS n FROM ({CELLS}) GROUP BY ALL")

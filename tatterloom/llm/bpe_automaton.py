@@ -17,7 +17,7 @@ import hashlib
 import json
 import mmap
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from itertools import chain
 from urllib.parse import urlparse
 
@@ -182,7 +182,7 @@ def local_automaton(path: str) -> Automaton:
     return Automaton(*_compiled(path))
 
 
-@cache
+@lru_cache(1)
 def _worker(uri: str, spec) -> Automaton:
     """A worker's automaton; spec is the broadcast variable."""
     fs, path = filesystem(uri)

@@ -86,12 +86,15 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str,
     """
     keys = decisions.groupBy("_row_id", "_row_hash").agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
     keys = written(keys.where(~F.col("_any") | (F.lit(once) & (F.col("_n") > 1))), "keys")
-    own = docs.columns
-    tagged = docs.withColumns({"_row_hash": F.xxhash64(whole(text_col))})
-    same = (F.col(id_col).eqNullSafe(F.col("_r._row_id"))) & (tagged["_row_hash"] == F.col("_r._row_hash"))
-    stay = tagged.join(bounded(keys).alias("_r"), same, "left_anti").select(*[tagged[c] for c in own])
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    mark = "_row_hash"
+    while mark in map(str.lower, docs.columns):
+        mark = f"_{mark}"
+    tagged = docs.withColumn(mark, F.xxhash64(whole(text_col)))
+    same = tagged[id_col].eqNullSafe(F.col("_r._row_id")) & (tagged[mark] == F.col("_r._row_hash"))
+    stay = tagged.join(bounded(keys).alias("_r"), same, "left_anti").select(*own)
     ties = keys.where("_any")
     if ties.isEmpty():
         return stay
-    once = tagged.join(bounded(ties).alias("_r"), same, "left_semi").dropDuplicates([id_col, "_row_hash"]).select(*own)
-    return stay.unionByName(once)
+    again = tagged.join(bounded(ties).alias("_r"), same, "left_semi").dropDuplicates([id_col, mark]).select(*own)
+    return stay.unionByName(again)

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SCHEMA = "doc_id long, text string, kept string, keep_id long, text_sha256 double"
+SCHEMA = "doc_id long, text string, kept string, keep_id long, text_sha256 double, _row_hash int, `a.b` string"
 
 
 @pytest.fixture(scope="session")
@@ -31,7 +31,7 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """The rows as a table with extra columns of clashing names."""
-    return spark.createDataFrame([(d, t, f"k{d}", 1, 0.5) for d, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(d, t, f"k{d}", 1, 0.5, 7, None) for d, t in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -466,9 +466,6 @@ def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.withColumn("data_type", S.inferred_type(F.col("maybe_numeric"), F.col("maybe_date"), F.col("maybe_bool"), F.lit(True)))
 
 
-_WHOLE = f"SELECT file_id, 0 AS block_id, line_no, raw, line_no AS ord FROM ({RAGGED}) WHERE line_no < 100"
-
-
 @query(
     f"SELECT file_id, idx::INT AS idx, count(*) AS sample_count, {', '.join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in _BUCKETS)}, array_to_string(list_slice(list(DISTINCT v ORDER BY v) FILTER (v <> ''), 1, 1), '|') AS least FROM "
     f"(SELECT *, {_kind('v')} AS kind FROM (SELECT file_id, generate_subscripts(cells, 1) - 1 AS idx, unnest(cells) AS v FROM ({CELLS}) WHERE line_no < 100)) GROUP BY file_id, idx"
@@ -479,13 +476,10 @@ def signature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.select("file_id", "idx", "sample_count", *[f"n_{b}" for b in _BUCKETS], F.coalesce(F.array_min("samples"), F.lit("")).alias("least"))
 
 
-_WIDTH = f"SELECT max(len(cells)) AS most FROM ({CELLS})"
-
-
 @query(
     f"WITH c AS (SELECT file_id, line_no, cells FROM ({CELLS})), i AS (SELECT file_id, unnest(range(0, 6))::INT AS idx FROM (SELECT DISTINCT file_id FROM c)), f AS (SELECT file_id, 5 AS idx, min(line_no) AS since FROM c WHERE len(cells) > 5 GROUP BY file_id), "
     f"v AS (SELECT i.file_id, i.idx, coalesce(c.cells[i.idx + 1], '') AS value FROM i JOIN c USING (file_id) LEFT JOIN f ON f.file_id = i.file_id AND f.idx = i.idx WHERE i.idx < 5 OR c.line_no >= since) "
-    f"SELECT file_id, idx, CASE WHEN idx < 5 THEN 'h' || CAST(idx AS STRING) ELSE 'column_6' END AS header, {_PROFILE.replace('count(DISTINCT CASE', 'count(DISTINCT CASE').replace('AS unique_estimate', 'AS exact')} FROM (SELECT *, {_kind('value')} AS kind FROM v) GROUP BY file_id, idx"
+    f"SELECT file_id, idx, CASE WHEN idx < 5 THEN 'h' || CAST(idx AS STRING) ELSE 'column_6' END AS header, {_PROFILE.replace('AS unique_estimate', 'AS exact')} FROM (SELECT *, {_kind('value')} AS kind FROM v) GROUP BY file_id, idx"
 )
 def profile_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cells(spark, sf_dir)

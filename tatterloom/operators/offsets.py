@@ -66,3 +66,14 @@ def resolve_targets(entries: DataFrame, columns: DataFrame, profiles: DataFrame
         found = found.join(F.broadcast(bucket), "kind", "left").join(F.broadcast(bucket.select(F.col("kind").alias("other"), F.col("at").alias("at_other"))), "other", "left")
         by_type = F.coalesce("at", "at_other")
     return found.select(*[c for c in entries.columns if c != "target_index"], F.coalesce("target_index", "by_slug", by_type).alias("target_index"))
+
+
+def targets_within(entries: DataFrame, founder: str) -> DataFrame:
+    """(file_id, source_index, target_index): where each file's columns stand in the file that founded the schema.
+
+    A name that either file has twice, or the founder lacks, leaves its column where it is.
+    """
+    names = entries.groupBy("file_id", "canonical_name").agg(F.count(F.lit(1)).alias("n"), F.min("source_index").alias("at"))
+    own = names.where(F.col("file_id") == founder).select("canonical_name", F.col("n").alias("own_n"), "at")
+    joined = entries.select("file_id", "source_index", "canonical_name").join(names.select("file_id", "canonical_name", "n"), ["file_id", "canonical_name"]).join(own, "canonical_name", "left")
+    return joined.select("file_id", "source_index", F.when((F.col("n") == 1) & (F.col("own_n") == 1), F.col("at")).otherwise(F.col("source_index")).alias("target_index"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tatterloom.functions.scalars import kind_of, strip, to_iso_date, to_number
@@ -63,3 +63,13 @@ def profile_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
         (zero("n_null") + total - zero("total_values")).alias("n_null"), total.alias("total_values"), zero("unique_estimate").alias("unique_estimate"),
         "numeric_min", "numeric_max", "date_min", "date_max",
     )
+
+
+def top_values(cells: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(…keys, value, n): the commonest values per key, of equals the least; a report of `most` rows a key.
+
+    Values are counted first, so only distinct ones are ranked.
+    """
+    counts = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "value"))
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")

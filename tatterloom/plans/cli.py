@@ -65,6 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.tables:
             tables = Tables(spark, args.tables)
             tables.migrate()
+            tables.persist_mapping(mapping)
             tables.audit("mapping", args.verb, args.output)
         if args.verb == "materialize":
             if args.plan:

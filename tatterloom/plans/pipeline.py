@@ -85,7 +85,8 @@ def review(mapping: Mapping, synonyms: schemas.Synonyms | None = None) -> Mappin
     firsts = durable(joined.where("ord = schema_ord").select("schema_id", "file_id", "header_sample", "delimiter"))
     kinds = mapping.profiles.join(firsts.select("schema_id", "file_id"), "file_id").select("schema_id", "idx", _profile_type().alias("data_type"))
     columns = durable(schemas.schema_columns(firsts, kinds, names))
-    found = durable(columns.groupBy("schema_id").agg(F.min_by("name", "index").alias("name"), F.count(F.lit(1)).alias("width")))
+    found = columns.groupBy("schema_id").agg(F.min_by("name", "index").alias("name"), F.count(F.lit(1)).alias("width"))
+    found = durable(found.join(firsts.select("schema_id", F.col("file_id").alias("founder")), "schema_id"))
     return replace(mapping, blocks=durable(joined.drop("ord", "schema_ord")), schemas=found, schema_columns=columns)
 
 
@@ -160,8 +161,7 @@ def materialize(
             contract = (contracts or {}).get(sid)
             place = {_slug(c["name"]): c["index"] for c in reversed(own)}
             specs = [replace(s, index=place.get(_slug(s.name))) for s in contract.columns] if contract else []
-            entries = offsets.resolve_targets(mapping.entries.select("file_id", "source_index", "canonical_name", "target_index"), spark_columns(mapping, sid), None)
-            width = len(own)
+            entries, width = offsets.targets_within(mapping.entries, schema["founder"]), len(own)
             rows = align.validated(align.align_rows(cells.where(F.col("schema_id") == sid), entries.where(F.col("target_index") < width)), width, specs)
             rows, counts = align.observed(rows, f"v{sid}")
             names = distinct_names([c["name"] or c["raw_name"] for c in own])
@@ -187,10 +187,6 @@ def materialize(
     return out
 
 
-def spark_columns(mapping: Mapping, schema_id: str) -> DataFrame:
-    return mapping.schema_columns.where(F.col("schema_id") == schema_id).select("index", "name", "data_type")
-
-
 def plan(mapping: Mapping, path: str | None = None) -> list[dict]:
     """What materialize() would do: a row per schema, by name."""
     rolled = blocks.plan_rollup(mapping.blocks, mapping.schemas).orderBy("schema_name")

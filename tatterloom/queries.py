@@ -486,3 +486,58 @@ def profile_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = rows.select("file_id").distinct().withColumn("headers", F.array(*[F.lit(f"h{k}") for k in range(5)]))
     exact = rows.select("file_id", F.posexplode("cells").alias("idx", "v")).where("trim(v) <> ''").groupBy("file_id", "idx").agg(F.count_distinct("v").alias("exact"))
     return profile.profile_rows(rows, names).drop("unique_estimate").join(exact, ["file_id", "idx"])
+
+
+# Contracts, targets, schemas
+
+_CONTRACTS = [("retail", "orders", "2"), ("retail", "stock", "1"), ("default", "people", "3"), ("lab", "orders", "9"), ("lab", "runs", "4")]
+_SCHEMAS = [("s1", "orders", None, "retail"), ("s2", "x", "stock", "retail"), ("s3", "people", None, None), ("s4", "runs", None, "retail"), ("s5", "none", "none", "lab"), ("s6", "stock", "orders", "lab"), ("s7", "y", "people", "lab")]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+
+
+@query(
+    f"WITH c AS (SELECT * FROM {_values(_CONTRACTS)} AS c(ns, id, version)), s AS (SELECT * FROM {_values(_SCHEMAS)} AS s(schema_id, name, contract_id, namespace)) "
+    "SELECT schema_id, name, x.ns AS namespace, x.id AS contract_id, x.version FROM (SELECT s.schema_id, s.name, coalesce((SELECT c FROM c WHERE ns = coalesce(namespace, 'default') AND id = contract_id), "
+    "(SELECT c FROM c WHERE ns = coalesce(namespace, 'default') AND id = name), (SELECT arg_min(c, ns) FROM c WHERE id = coalesce(contract_id, name))) AS x FROM s)"
+)
+def contract_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tatterloom.operators.schemas import bind_contracts
+
+    known = spark.createDataFrame(_CONTRACTS, "namespace string, contract_id string, version string")
+    return bind_contracts(spark.createDataFrame(_SCHEMAS, "schema_id string, name string, contract_id string, namespace string"), known)
+
+
+_ENTRIES = [("a", 0, "Order ID", None), ("a", 1, "amount", None), ("a", 2, "when", None), ("a", 3, "kept", 7), ("b", 0, "??", None), ("b", 1, "order-id", None)]
+_TARGETS = [(0, "order_id", "int"), (1, "total", "decimal"), (2, "day", "date"), (3, "Order Id", "string"), (4, "note", "string")]
+_KINDS = [("a", 0, 9, 0, 0, 0), ("a", 1, 0, 5, 1, 0), ("a", 2, 0, 0, 0, 4), ("b", 0, 0, 0, 3, 1), ("b", 1, 1, 0, 0, 0)]
+
+
+@query(
+    f"WITH e AS (SELECT * FROM {_values(_ENTRIES)} AS e(file_id, source_index, canonical_name, target)), t AS (SELECT * FROM {_values(_TARGETS)} AS t(i, name, kind)), k AS (SELECT * FROM {_values(_KINDS)} AS k(f, j, n_integer, n_float, n_text, n_date)) "
+    "SELECT file_id, source_index, canonical_name, coalesce(target, (SELECT min(i) FROM t WHERE trim(regexp_replace(lower(t.name), '[^a-z0-9]+', '_', 'g'), '_') = trim(regexp_replace(lower(canonical_name), '[^a-z0-9]+', '_', 'g'), '_')), "
+    "(SELECT min(i) FROM t WHERE kind = CASE WHEN greatest(n_integer, n_float, n_text, n_date) = n_integer THEN 'int' WHEN greatest(n_integer, n_float, n_text, n_date) = n_float THEN 'decimal' WHEN greatest(n_integer, n_float, n_text, n_date) = n_text THEN 'string' ELSE 'date' END)) AS target_index "
+    "FROM e LEFT JOIN k ON f = file_id AND j = source_index"
+)
+def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(_ENTRIES, "file_id string, source_index int, canonical_name string, target_index int")
+    columns = spark.createDataFrame(_TARGETS, "index int, name string, data_type string")
+    kinds = spark.createDataFrame(_KINDS, "file_id string, idx int, n_integer long, n_float long, n_text long, n_date long")
+    return offsets.resolve_targets(entries, columns, kinds)
+
+
+@query(f"SELECT header, value, n FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY n DESC, value) AS k FROM (SELECT header, value, count(*) AS n FROM ({_stacked_sql('events')}) GROUP BY ALL)) WHERE k <= 3")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.top_values(_stacked(spark, sf_dir, "events"), ["header"], 3)
+
+
+@query()
+def schema_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas of the ragged orders' lines taken as headers: those of one width whose texts are alike."""
+    from tatterloom.operators.schemas import Synonyms, cluster_blocks
+
+    found = _cells(spark, sf_dir).select(F.col("line_no").alias("ord"), F.lit(",").alias("delimiter"), F.size("cells").alias("column_count"), F.col("raw").alias("header_sample"), "file_id").where("file_id = 0 and raw <> ''")
+    heads = found.withColumn("header_sample", F.regexp_replace("header_sample", r"\d+", "id"))
+    return cluster_blocks(heads.drop("file_id"), Synonyms.of({})).groupBy("schema_ord").agg(F.count(F.lit(1)).alias("blocks"))

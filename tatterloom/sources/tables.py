@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tatterloom.functions.scalars import BUCKETS
 from tatterloom.operators import blocks
+from tatterloom.operators.headers import type_profiles
 
 #: Columns of the tables, by the version that brought them (fixed values).
 VERSIONS: dict[int, dict[str, str]] = {
@@ -71,6 +73,20 @@ class Tables:
         want = [c.strip().split(" ") for c in self.schema(name).split(",")]
         return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in want])
 
+    def persist_mapping(self, mapping) -> None:
+        """Replaces the tables of schemas, blocks, profiles and headers by a mapping's."""
+        stamp = F.lit(_now())
+        kinds = F.to_json(F.create_map(*[x for b in BUCKETS for x in (F.lit(b), F.col(f"n_{b}"))]))
+        self.replace("blocks", mapping.blocks.withColumns({"block_key": F.concat_ws(":", "file_id", "block_id"), "file_path": F.col("file_id")}))
+        self.replace("file_headers", mapping.files.withColumn("headers_json", F.to_json("headers")))
+        profiles = mapping.profiles.withColumn("n_empty", F.col("n_null"))
+        self.replace("column_profiles", profiles.withColumns({"column_index": F.col("idx"), "null_count": F.col("n_null"), "type_distribution_json": kinds}))
+        self.replace("header_occurrences", mapping.variants.select(F.col("raw").alias("raw_header"), "file_id", F.col("idx").alias("column_index")))
+        self.replace("header_profiles", type_profiles(mapping.variants.withColumnRenamed("raw", "raw_header")).withColumn("type_profile_json", kinds))
+        if mapping.schemas is not None:
+            own = mapping.schema_columns.groupBy("schema_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("index", "raw_name", "name", "data_type")))).alias("columns_json"))
+            self.replace("schemas", mapping.schemas.join(own, "schema_id").withColumns({"id": F.col("schema_id"), "updated_at": stamp}))
+
     def audit(self, entity: str, action: str, detail: str | None = None) -> None:
         self.append("audit_log", [{"entity": entity, "action": action, "detail": detail, "created_at": _now()}])
 

@@ -104,6 +104,11 @@ def test_all_phases_and_resume(spark, folder, tmp_path, monkeypatch):
     contracts.register(artifacts.Contract.of({"schema_id": "customer_name", "columns": [{"name": "email"}, {"name": "age", "data_type": "int"}]}))
     mapping, bound = pipeline.normalize(mapping, contracts)
     assert len(bound) == 1
+    tables = Tables(spark, str(tmp_path / "tables"))
+    tables.migrate()
+    tables.persist_mapping(mapping)
+    assert tables.read("schemas").count() == 3 and tables.read("column_profiles").count() == tables.read("header_occurrences").count() == 9
+    assert json.loads(tables.read("header_profiles").where("raw_header = 'age'").first().type_profile_json)["integer"] == 3
     real, calls = pipeline.write_rows, []
 
     def crash_once(*a, **k):
@@ -127,6 +132,23 @@ def test_all_phases_and_resume(spark, folder, tmp_path, monkeypatch):
     assert {r["schema_name"] for r in pipeline.plan(mapping, str(tmp_path / "plan.json"))} >= {"customer_name"}
 
 
+def test_swapped_columns_are_put_in_the_founders_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, head in enumerate(["client name,client email", "client email,client name"]):
+        row = [f"n{k}", f"e{k}@x.org"]
+        (tmp_path / "in" / f"{k}.csv").write_text(f"{head}\n{','.join(row if k == 0 else row[::-1])}\n")
+    mapping = pipeline.review(pipeline.analyze(spark, [str(tmp_path / "in")], control.load_config()))
+    rows = []
+    for s in pipeline.materialize(mapping, str(tmp_path / "out"), control.load_config()):
+        rows += [(r.client_name, r.client_email) for r in spark.read.option("header", True).csv(f"{tmp_path}/out/{s.target}").collect()]
+    assert sorted(rows) == [("n0", "e0@x.org"), ("n1", "e1@x.org")]
+
+
+def test_quoted_cells(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a;b\n"x;1";"two\nlines"\n;"say ""hi"""\n')
+    assert [r.cells for r in source.quoted_cells(spark, str(tmp_path / "q.csv"), ";").collect()] == [["a", "b"], ["x;1", "two\nlines"], ["", 'say "hi"']]
+
+
 def test_sinks(spark, tmp_path):
     import sqlite3
 

@@ -33,7 +33,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb "
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "social share sharing related recommended recommendations widget toolbar pagination pager copyright legal disclaimer search skip tags taboola outbrain".split()
+    "social share sharing adsbygoogle related recommended recommendations widget toolbar pagination pager copyright legal disclaimer search skip tags taboola outbrain".split()
 )
 COMMENTS = frozenset("comment comments commentlist replies reply respond discussion disqus reader".split())
 HEADS = frozenset("header topbar".split())
@@ -172,13 +172,29 @@ def _region(lines: Lines) -> list[str]:
     most = [e for e in inside if held[e] >= HOLDS * total]
     chosen = {max(most)} if most else set(named)  # elements are numbered as they open: the last around most text is the deepest
     if chosen:
-        return [t for t, _, path, out in rows if not out and chosen & set(path)]
+        inside = [k for k, (_, _, path, out) in enumerate(rows) if not out and chosen & set(path)]
+        return [rows[k][0] for k in _title(lines, inside) + inside]
     first, last = np.flatnonzero(content)[[0, -1]].tolist()  # text straight in the body: from its first line to its last
     while first and kept[first - 1] and rows[first - 1][2] and lines.elements[rows[first - 1][2][-1]] in HEADINGS:
         first -= 1
     return [t for t, _, _, out in rows[first : last + 1] if not out]
 
 
+def _title(lines: Lines, inside: list[int]) -> list[int]:
+    """The top headings right before a region that has none of its own."""
+    rows = lines.lines
+    top = lambda k: rows[k][2] and lines.elements[rows[k][2][-1]] == "h1"
+    found: list[int] = []
+    if not any(map(top, inside)):
+        for k in range(inside[0] - 1, -1, -1):
+            if rows[k][3]:
+                continue
+            if not top(k):
+                break
+            found.insert(0, k)
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: blocks joined by two line feeds; empty if there is none, also for null."""
     html = html or ""

@@ -174,6 +174,8 @@ TEXT = " ".join(("Some words of a long and dull paragraph, as pages have. " * 4)
         (f"<nav><ul><article>{PARAGRAPH}</article>", TEXT),
         (f"<article>{PARAGRAPH}<section class=comments><article class=comment>{PARAGRAPH}</article></section></article>", TEXT),
         ("<article><p>cut off <a hre", "cut off"),
+        (f"<main><h1>T</h1><div class=ad>buy</div><article>{PARAGRAPH}</article></main>", f"T\n\n{TEXT}"),
+        (f"<h1>Site</h1><nav>n</nav><div><h1>T</h1>{PARAGRAPH}<p class='promo-box'>p</p><span class=ad>x</span>{PARAGRAPH}</div>", f"T\n\n{TEXT}\n\n{TEXT}"),
     ],
 )
 def test_main_text(html, want):

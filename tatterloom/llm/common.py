@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A table of at most so many narrow rows (two longs) may be broadcast: 64 MB at most as a hash table.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = _prepared(rows, short)
     first = F.struct(F.lit(-1).alias("place"), F.size("w1").alias("length"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<bigint>").alias("around"))
     marks = rows.select("uid", "_row_id", "_row_hash", F.explode(F.concat(F.array(first), _marks(short))).alias("m")).select("uid", "_row_id", "_row_hash", "m.*")
-    known = bounded(index.select("key", F.col("length").alias("_length"), F.col("around").alias("_around"), "classes"))
+    known = bounded(index.select("key", F.col("length").alias("_length"), F.col("around").alias("_around"), "classes"), 200_000)
     met = marks.join(known, "key", "left").where((F.col("place") < 0) | (F.col("_length") == F.col("length")))
     agree = F.when(F.col("length") < WINDOW, F.array("place")).otherwise(
         F.array_compact(F.transform(F.col("around"), lambda w, j: F.when(w == F.get(F.col("_around"), j), F.col("place") - j)))
@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = met.where("place >= 0")
     words = F.transform(F.col("starts"), lambda s: F.sequence(s, s + F.col("length") - 1))
     hit = found.groupBy("uid").agg(F.size(F.array_distinct(F.flatten(F.flatten(F.collect_list(words))))).alias("n_hit"))
-    of = found.select("uid", F.explode("classes").alias("class")).distinct().join(bounded(classes), "class")
+    of = found.select("uid", F.explode("classes").alias("class")).distinct().join(bounded(classes, 200_000), "class")
     of = of.groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     base = met.where("place < 0").select("uid", "_row_id", "_row_hash", F.col("length").cast("long").alias("n_words"))
     all_rows = base.join(hit, "uid", "left").join(of, "uid", "left")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tatterloom.operators.durable import durable
+from tatterloom.operators.durable import durable, small
+
+_RANGE = 12  # bits: intervals meet lines by ranges of 4,096 lines
 
 
 def compacted(blocks: DataFrame) -> DataFrame:
@@ -27,8 +29,14 @@ def compacted(blocks: DataFrame) -> DataFrame:
 
 
 def assigned_lines(lines: DataFrame, intervals: DataFrame) -> DataFrame:
-    """lines (file_id, line_no, …) with their block: an equality join on the file, each line in one disjoint interval."""
-    return lines.join(intervals, "file_id").where("line_no between start_line and end_line")
+    """lines (file_id, line_no, …) with their block.
+
+    Disjoint intervals are cut into ranges of lines, so the join is an equality on file and range and a line meets only
+    the intervals of its range.
+    """
+    cut = intervals.withColumn("_range", F.explode(F.sequence(F.shiftright("start_line", _RANGE), F.shiftright("end_line", _RANGE))))
+    placed = lines.withColumn("_range", F.shiftright("line_no", _RANGE))
+    return placed.join(small(durable(cut)), ["file_id", "_range"]).where("line_no between start_line and end_line").drop("_range")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -7,6 +7,10 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a side that may be broadcast: some tens of megabytes of keys and names.
+SMALL = 300_000
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -17,3 +21,8 @@ def durable(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if it has no more rows than that; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

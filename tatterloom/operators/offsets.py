@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tatterloom.operators.durable import small
 from tatterloom.operators.headers import BUCKETS
 
 
@@ -51,7 +52,7 @@ def resolve_targets(entries: DataFrame, columns: DataFrame, profiles: DataFrame
     from tatterloom.functions.scalars import unicode_slug
 
     by_slug = columns.select(unicode_slug(F.col("name")).alias("slug"), "index").where("slug <> ''").groupBy("slug").agg(F.min("index").alias("by_slug"))
-    found = entries.join(F.broadcast(by_slug), unicode_slug(F.col("canonical_name")) == F.col("slug"), "left").drop("slug")
+    found = entries.join(small(by_slug), unicode_slug(F.col("canonical_name")) == F.col("slug"), "left").drop("slug")
     by_type = F.lit(None).cast("int")
     if profiles is not None:
         kinds = ("integer", "float", "text", "date")

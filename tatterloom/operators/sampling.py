@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tatterloom.functions.scalars import BUCKETS, classify, clean_cell, detect_delimiter, inferred_type, looks_bool, looks_date, looks_numeric, split_line, strip
@@ -40,17 +40,14 @@ def block_plan(files: DataFrame, block_size: int, min_gap: int) -> DataFrame:
 def sampled_lines(lines: DataFrame, plan: DataFrame, most: int = SIGNATURE_LINES) -> DataFrame:
     """(file_id, block_id, line_no, raw, ord): each block's first lines that no block before it takes.
 
-    A block's own range starts after the end of the one before, so a line belongs to one block: the join is an
-    equality on the file with one match at most per line, and the plan is small.
+    A block's own range starts after the end of the one before, so a line belongs to one block. Of a range only the
+    first `most` lines count, so their numbers are listed and the join is an equality on file and line.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file_id").orderBy("start_line", "block_id")
     own = plan.withColumn("own_start", F.greatest("start_line", F.coalesce(F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(0))))
-    own = own.select("file_id", "block_id", "own_start", "end_line").where("own_start <= end_line")
-    own = own.withColumn("stop", F.least(F.col("end_line"), F.col("own_start") + most - 1))
-    joined = lines.join(own, "file_id").where("line_no between own_start and stop")
-    return joined.select("file_id", "block_id", "line_no", "raw", (F.col("line_no") - F.col("own_start")).alias("ord"))
+    own = own.where("own_start <= end_line").withColumn("stop", F.least(F.col("end_line"), F.col("own_start") + most - 1))
+    wanted = own.select("file_id", "block_id", F.posexplode(F.sequence("own_start", "stop")).alias("ord", "line_no"))
+    return lines.join(wanted, ["file_id", "line_no"]).select("file_id", "block_id", "line_no", "raw", F.col("ord").cast("long").alias("ord"))
 
 
 def signatures(sample: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tatterloom.functions.scalars import compact_slug, snake_slug, strip, synonym_key
+from tatterloom.operators.durable import small
 
 HEADER_ALIKE = 0.85
 
@@ -100,10 +101,10 @@ def schema_columns(schemas: DataFrame, columns: DataFrame, synonyms: Synonyms) -
 
 def bind_contracts(schemas: DataFrame, contracts: DataFrame) -> DataFrame:
     """schemas (schema_id, name, contract_id, namespace) with the contract that is theirs: by namespace and id, by namespace and name, else by id in any namespace."""
-    c = F.broadcast(contracts.select(F.col("namespace").alias("c_ns"), F.col("contract_id").alias("c_id"), F.col("version").alias("c_version")))
+    c = small(contracts.select(F.col("namespace").alias("c_ns"), F.col("contract_id").alias("c_id"), F.col("version").alias("c_version")))
     ns = F.coalesce("namespace", F.lit("default"))
     pick = lambda t: F.struct(F.col(f"{t}.c_ns").alias("namespace"), F.col(f"{t}.c_id").alias("contract_id"), F.col(f"{t}.c_version").alias("version"))
-    any_ns = F.broadcast(contracts.groupBy(F.col("contract_id").alias("c_id")).agg(F.min_by(F.struct(F.col("namespace").alias("c_ns"), F.col("version").alias("c_version")), "namespace").alias("x")).select("c_id", "x.*"))
+    any_ns = small(contracts.groupBy(F.col("contract_id").alias("c_id")).agg(F.min_by(F.struct(F.col("namespace").alias("c_ns"), F.col("version").alias("c_version")), "namespace").alias("x")).select("c_id", "x.*"))
     s = schemas.alias("s")
     joined = s.join(c.alias("a"), (F.col("a.c_ns") == ns) & (F.col("a.c_id") == F.col("s.contract_id")), "left")
     joined = joined.join(c.alias("b"), (F.col("b.c_ns") == ns) & (F.col("b.c_id") == F.col("s.name")), "left")

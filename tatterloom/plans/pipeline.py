@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tatterloom.functions.scalars import BUCKETS, split_line, strip
 from tatterloom.operators import align, blocks, headers, offsets, profile, sampling, schemas
-from tatterloom.operators.durable import durable
+from tatterloom.operators.durable import durable, small
 from tatterloom.plans.artifacts import Contract, Contracts
 from tatterloom.plans.control import Config, Job, JobState, Manifests, append_line, progress, throughput
 from tatterloom.sources.lines import file_lines, input_files, raw_lines
@@ -58,7 +58,7 @@ def analyze(spark: SparkSession, targets: list[str], config: Config) -> Mapping:
     own = durable(plan.join(found, ["file_id", "block_id"], "left"))
     columns = durable(columns)
     body = blocks.without_headers(lines, _header_texts(files))
-    cells = body.where(strip(F.col("raw")) != "").join(F.broadcast(files.select("file_id", "delimiter")), "file_id").select("file_id", "line_no", split_line(F.col("raw"), F.col("delimiter")).alias("cells"))
+    cells = body.where(strip(F.col("raw")) != "").join(small(files.select("file_id", "delimiter")), "file_id").select("file_id", "line_no", split_line(F.col("raw"), F.col("delimiter")).alias("cells"))
     profiles = durable(profile.profile_rows(cells, files.select("file_id", "headers")))
     counts = {"n_empty": F.col("n_null"), **{f"n_{b}": F.col(f"n_{b}") for b in BUCKETS if b != "empty"}}
     variants = durable(profiles.select("file_id", "idx", F.col("header").alias("raw"), *[c.alias(n) for n, c in counts.items()], F.xxhash64("file_id", "idx").alias("ord")))
@@ -77,7 +77,7 @@ def review(mapping: Mapping, synonyms: schemas.Synonyms | None = None) -> Mappin
     """Groups blocks into schemas. Blocks inside a file share its header; clusters, profiles and offsets stay."""
     names = synonyms or schemas.Synonyms({})
     whole = mapping.files.select("file_id", F.col("delimiter").alias("d"), F.size("headers").alias("w"), "headers")
-    own = mapping.blocks.join(F.broadcast(whole), "file_id").withColumns({"delimiter": F.col("d"), "column_count": F.col("w"), "header_sample": F.array_join("headers", "\x1f")})
+    own = mapping.blocks.join(small(whole), "file_id").withColumns({"delimiter": F.col("d"), "column_count": F.col("w"), "header_sample": F.array_join("headers", "\x1f")})
     own = own.withColumn("header_sample", F.replace("header_sample", F.lit("\x1f"), F.col("delimiter"))).withColumn("ord", F.xxhash64("file_id", "block_id").bitwiseAND((1 << 62) - 1))
     own = durable(own.drop("d", "w", "headers"))
     founded = durable(schemas.cluster_blocks(own.select("ord", "delimiter", "column_count", "header_sample"), names))
@@ -146,7 +146,7 @@ def materialize(
     owned = mapping.blocks.where("schema_id is not null").select("file_id", "block_id", "start_line", "end_line", "schema_id", F.xxhash64("schema_id").alias("schema_ord"))
     intervals = durable(blocks.compacted(owned))
     body = blocks.without_headers(mapping.lines, _header_texts(mapping.files))
-    lines = blocks.assigned_lines(body, F.broadcast(intervals)).join(F.broadcast(mapping.files.select("file_id", "delimiter")), "file_id")
+    lines = blocks.assigned_lines(body, intervals).join(small(mapping.files.select("file_id", "delimiter")), "file_id")
     cells = lines.select("file_id", "line_no", "schema_id", F.transform(split_line(F.col("raw"), F.col("delimiter")), strip).alias("cells"))
     out, used = [], {}
     try:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tatterloom.operators.durable import durable
+from tatterloom.operators.durable import durable, small
 
 EXTENSIONS = ("csv", "tsv", "txt")
 FALLBACK = "windows-1251"
@@ -60,7 +60,7 @@ def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("split")
     stats = stats.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     stats = stats.withColumn("utf8", F.min("utf8").over(Window.partitionBy("file_id")))
-    numbered = placed.join(F.broadcast(stats.select("file_id", "split", "first", "before", "utf8")), ["file_id", "split"])
+    numbered = placed.join(small(durable(stats.select("file_id", "split", "first", "before", "utf8"))), ["file_id", "split"])
     raw = F.when(F.col("utf8"), F.col("bytes").cast("string")).otherwise(decoded(F.col("bytes")))
     return numbered.select("file_id", (F.col("seq") - F.col("first") + F.col("before")).alias("line_no"), raw.alias("raw"))
 

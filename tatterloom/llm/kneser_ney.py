@@ -30,8 +30,8 @@ from tatterloom.llm.common import filesystem, input_bytes, shared_dir, whole, wr
 from tatterloom.llm.textnum import Words, chunks
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end's hash
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 16
-HELD = 2_000_000  # entries that a task holds before it combines them
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16
+HELD = 1_000_000  # entries that a task holds before it combines them
 POINTS = 64  # quantiles of the words' counts that a bucket reports
 SMOOTH = 0.1  # of the base score
 

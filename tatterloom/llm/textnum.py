@@ -11,6 +11,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+STEP = 1 << 18  # powers are added in such steps
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,7 +30,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // STEP) * STEP
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1
@@ -41,7 +42,7 @@ BYTES = Powers(0x9E3779B97F4A7C15 | 1), Powers(0xD6E8FEB86659FD93)
 WORDS = Powers(0xBF58476D1CE4E5B9), Powers(0x94D049BB133111EB)
 
 
-def chunks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):

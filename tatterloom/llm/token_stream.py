@@ -12,6 +12,7 @@ only the attempts whose sidecar rows Spark commits count, so a lost executor lea
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,15 +29,24 @@ from tatterloom.llm.common import filesystem, input_bytes, shared_dir, whole, wr
 
 LENGTH, ROWS = 2048, 64
 END = 1
-MOST_WORDS = 300_000  # kept encodings in a worker; then it starts anew
+MOST_WORDS = 800_000  # kept encodings in a worker; then it starts anew
 RANGE_BYTES = 64 << 20  # of input in a file
 
 
+#: Letters and numbers of the texts whose pieces are found here: characters that normalising leaves alone but for case.
+LETTERS, NUMBERS, SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ÿĀ-įı-ſ", "0-9²³¹¼½¾", "¡-¿×÷–—‘-„…€"
+USUAL = re.compile(f"[\t\n\r -~{LETTERS}{NUMBERS}{SIGNS}]*")
+#: The pre-splitting pattern of the word-end kind (fixed value), for those texts in lower case.
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+WORD_END = "</w>"
+
+
 class Encoder:
-    """A tokenizer file's ids by the tokenizers library, a word's kept once found.
+    """A tokenizer file's ids by the tokenizers library, a piece's kept once found.
 
-    Sound for tokenizers none of whose tokens spans ASCII white space, as in the word-end kind, whose pre-tokenizer
-    drops white space: their ids for a text are those of its white-space-separated parts, one after another.
+    For tokenizers of the word-end kind, which lower-case, drop white space and mark each piece's last token: the ids of
+    a text are those of its pieces, one after another. New pieces are encoded together and told apart by their last
+    tokens. Texts of other characters, or that may hold special tokens, go by their parts between ASCII white space.
     """
 
     def __init__(self, path: str):
@@ -47,20 +57,37 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.found: dict[bytes, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith(WORD_END)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.found: dict[str, bytes] = {}
+
+    def _one_by_one(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.type)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.type.itemsize).tolist()
+        if len(ends) != len(pieces):
+            return self._one_by_one(pieces)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids as packed numbers of self.type."""
-        words, found = text.encode().split(), self.found
+        usual = USUAL.fullmatch(text) and not any(t in text for t in self.special)
+        parts, found = PIECE.findall(text.lower()) if usual else [w.decode() for w in text.encode().split()], self.found
+        if not usual:
+            return b"".join(self._one_by_one(parts))
         try:
-            return b"".join(map(found.__getitem__, words))
+            return b"".join(map(found.__getitem__, parts))
         except KeyError:
-            if len(found) + len(words) > MOST_WORDS:
+            if len(found) + len(parts) > MOST_WORDS:
                 found.clear()
-            new = [w for w in dict.fromkeys(words) if w not in found]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, self.type).tobytes()
-            return b"".join(map(found.__getitem__, words))
+            new = [w for w in dict.fromkeys(parts) if w not in found]
+            found.update(zip(new, self._together(new), strict=True))
+            return b"".join(map(found.__getitem__, parts))
 
 
 @cache

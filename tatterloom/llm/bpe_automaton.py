@@ -5,8 +5,8 @@ base tokens lead back to. For each merge (u, v) -> w, in order, a gadget is buil
 of their state that has no arc for v, and wherever u had an arc to a state with an arc for v, an arc for w leads to
 where v led. All arcs of a token lead to one state, so the automaton is that target of each token, and for each token
 a bit set of the states that have no arc for it: at most (tokens x states / 8) bytes, whatever the data. Each prefix
-of a word has one tokenization, so a word is encoded in one run over its bytes with one state per place: a token that
-starts here and has an arc from this state marks the place and state where it ends. Decoding concatenates labels.
+of a word has one tokenization, so a word is encoded in one run over its bytes with one state per place: of the labels
+that end at a place, which a trie with failure links gives, just one has an arc from the state where it starts. Decoding concatenates labels.
 
 The table is compiled once on the driver, written to the shared folder, and mapped or read there by the workers.
 """
@@ -16,24 +16,26 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from itertools import chain
 from urllib.parse import urlparse
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tatterloom.llm.common import filesystem, shared_dir, whole
 
-#: The pre-splitting pattern of byte-level BPE (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters are pre-split by the tokenizers library, whose character classes may be of another Unicode version.
-USUAL = regex.compile(r"[\t\n\r\x20-\x7E¡-ÿĀ-ſ–—‘-„…€]*")
-MOST_WORDS = 400_000  # kept encodings in a worker; then it starts anew
+#: Letters, numbers and other signs of the texts that are pre-split here; others are by the tokenizers library.
+LETTERS, NUMBERS, SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "¡-¿×÷–—‘-„…€"
+USUAL = re.compile(f"[\t\n\r -~{LETTERS}{NUMBERS}{SIGNS}]*")
+#: The pre-splitting pattern of byte-level BPE (fixed value), for those texts.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+MOST_WORDS = 200_000  # kept encodings in a worker; then it starts anew
 
 
 def byte_chars() -> dict[str, int]:
@@ -90,33 +92,25 @@ class Automaton:
         self.closed, self.width, self.target = closed, spec["width"], spec["target"].tolist()
         self.labels: list[bytes] = spec["labels"]
         self.special: dict[str, int] = spec["special"]
-        self.tokens = {self.labels[i]: i for i in np.flatnonzero(spec["live"]).tolist()}
-        self.prefixes = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        self.arcs = ahocorasick.Automaton()
+        for i in np.flatnonzero(spec["live"]).tolist():
+            self.arcs.add_word(self.labels[i].decode("latin-1"), (i, len(self.labels[i])))
+        self.arcs.make_automaton()
         self.found: dict[str, tuple[int, ...]] = {}
-        self.split = regex.compile(SPLIT).findall
-        self.at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.chars = byte_chars()
         self.slow = None
 
     def word(self, data: bytes) -> tuple[int, ...]:
-        """The ids of a pre-split word: one state for each place in it."""
-        n, tokens, prefixes, closed, width, target = len(data), self.tokens, self.prefixes, self.closed, self.width, self.target
-        if (whole_word := tokens.get(data)) is not None and not closed[whole_word * width] & 1:
-            return (whole_word,)  # an arc from the start to the end
-        state, back, last = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            s = state[i]
-            if s < 0:
-                continue
-            byte, bit = s >> 3, s & 7
-            for j in range(i + 1, n + 1):
-                piece = data[i:j]
-                if piece not in prefixes:
-                    break
-                t = tokens.get(piece)
-                if t is not None and not closed[t * width + byte] >> bit & 1:
-                    state[j], back[j], last[j] = target[t], i, t
+        """The ids of a pre-split word: of the labels that end at a place, one has an arc from the state where it starts."""
+        n, closed, width, target = len(data), self.closed, self.width, self.target
+        state, back, last = [0] + [-1] * n, [0] * (n + 1), [0] * (n + 1)
+        for end, (t, size) in self.arcs.iter(data.decode("latin-1")):
+            end += 1
+            if state[end] < 0:
+                s = state[end - size]
+                if s >= 0 and not closed[t * width + (s >> 3)] >> (s & 7) & 1:
+                    state[end], back[end], last[end] = target[t], end - size, t
         if state[n] < 0:
             raise ValueError(f"the vocabulary has no tokens for {data!r}")
         ids = []
@@ -127,7 +121,7 @@ class Automaton:
 
     def pre_split(self, text: str) -> list[str]:
         if USUAL.fullmatch(text):
-            return self.split(text)
+            return SPLIT.findall(text)
         if self.slow is None:
             from tokenizers import pre_tokenizers
 

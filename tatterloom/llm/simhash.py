@@ -222,6 +222,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(written(named, "named"), "fp").select("_row_id", "_row_hash", "fp", "component_id")
 
 
+def least_rows(rows: DataFrame) -> DataFrame:
+    """(_row_id, _row_hash, kept) of rows (_row_id, _row_hash, group): in each group the key with the smallest id is kept.
+
+    A null id is greater than any other; of keys with one id the smaller hash is kept.
+    """
+    key = F.struct(F.col("_row_id").isNull().alias("none"), F.col("_row_id").alias("id"), F.col("_row_hash").alias("hash"))
+    first = written(rows.groupBy("group").agg(F.min(key).alias("first")), "first")
+    kept = F.col("_row_id").eqNullSafe(F.col("first.id")) & (F.col("_row_hash") == F.col("first.hash"))
+    return rows.join(first, "group").select("_row_id", "_row_hash", kept.alias("kept"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of each group, with all its columns; of rows that repeat it, one."""
     found = near_duplicates(docs, id_col, text_col)

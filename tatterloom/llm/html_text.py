@@ -4,14 +4,15 @@ A page runs through the standard library's parser as a stream of events. Each bl
 list item, cell ...) is a line, with the number of its tags and the elements that it stands in. Lines in elements that
 are never main text (menus, adverts, forms, comments ..., by tag, role, class or id) have ratio 0. The ratios of text
 length to tags are smoothed with a Gaussian over neighbouring lines, and those above a threshold, a share of their
-standard deviation, are the content cluster. The content region is the deepest element that holds most of the
-cluster's text, an article or main element first; its lines outside the excluded elements are the page's text, so a
+standard deviation, are the content cluster. The content region is the deepest element that holds (nearly) all of the
+cluster's text, or the article and main elements that hold a part of it; its lines outside the excluded elements are the page's text, so a
 short paragraph or a heading inside the region isn't lost to its low ratio.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from tatterloom.llm.common import whole
 
-SIGMA, RADIUS, THRESHOLD, HOLDS = 1.0, 2, 0.25, 0.6
+SIGMA, RADIUS, THRESHOLD, HOLDS, PART = 1.0, 2, 0.25, 0.95, 0.1
 
 #: Tags whose text is never shown or never main text (fixed values).
-DROPPED = frozenset("script style noscript template head title iframe object svg math canvas audio video map nav aside footer menu dialog select option datalist button textarea input label form".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video map nav aside footer menu dialog select option datalist button textarea input label form".split())
+MATHS = frozenset("math semantics mrow mi mo mn ms mtext msup msub msubsup mmultiscripts mfrac msqrt mroot mover munder munderover mfenced menclose mstyle mpadded mspace mtable mtr mtd".split())
+INLINE = MATHS | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark what isn't main text (fixed values).
@@ -40,25 +42,30 @@ HEADS = frozenset("header topbar".split())
 CONTAINERS = frozenset("div section td center details figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may stand within a block without ending it.
-SILENT = frozenset("script style noscript template select datalist button textarea input label object svg math canvas audio video map iframe".split())
+SILENT = frozenset("script style noscript template select datalist button textarea input label object svg annotation annotation-xml canvas audio video map iframe".split())
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: text pieces, tags, elements around, and whether they are excluded."""
+    """Collects the lines of a page: text pieces, tags, the element around, and whether it is excluded.
+
+    Elements are numbered as they open and know the one around them, so time and space are linear in the page at any
+    depth of nesting.
+    """
 
     def __init__(self, keep_forms: bool = False):
         super().__init__(convert_charrefs=True)
         self.keep_forms = keep_forms
-        self.stack: list[tuple[str, int, str]] = []  # tag, element number, why it is excluded
-        self.out: list[str] = []  # the reasons of open excluded elements
-        self.silent: list[bool] = []  # whether these stand within a block
+        self.stack: list[tuple[str, int, str, bool]] = []  # tag, element, why it is excluded, whether it stands within a block
+        self.open: Counter[str] = Counter()  # open elements by tag
+        self.why: Counter[str] = Counter()  # open excluded elements by reason
+        self.out = self.quiet = 0  # open excluded elements, and those within a block
         self.elements: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.around: list[int] = []  # each element's parent, -1 at the top
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, excluded
         self.pieces: list[str] = []
         self.tags = 0
-        self.path: tuple[int, ...] = ()
 
     def _reason(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if tag in ("html", "body"):
@@ -78,38 +85,43 @@ class Lines(HTMLParser):
         if tag in DROPPED and not (self.keep_forms and tag == "form"):
             return tag
         if tag == "header" or names & HEADS:
-            return "" if any(t in ("article", "main") for t, _, _ in self.stack) and not names & MARKS else "header"
+            return "" if self.open["article"] + self.open["main"] and not names & MARKS else "header"
         return "marks" if names & MARKS else ""
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, self.tags, self.path, bool(self.out)))
+            self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else -1, self.out > 0))
             self.tags = 0
         self.pieces = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag == "br":
+        if tag == "br" and not self.out:
             self.pieces.append(" ")
         if tag in VOID or tag in INLINE and not (attrs and self._reason(tag, attrs)):
-            if tag == "hr":
+            if tag == "hr" and not self.quiet:
                 self._end_line()
             return
-        within = tag in INLINE or tag in SILENT
+        if tag in ("article", "main"):
+            while self.quiet:  # left open: no such element stands within a block
+                self._pop()
+        within = tag in INLINE or tag in SILENT or self.quiet > 0
         if not within:
             self._end_line()
             self._implied(tag)
         reason = self._reason(tag, attrs)
-        if tag in ("article", "main") and not reason and self.out and not {"comments", "hidden", "aside"} & set(self.out):
+        if tag in ("article", "main") and not reason and self.out and not any(self.why[r] for r in ("comments", "hidden", "aside")):
             while self.stack and self.out:  # an element that was left open, or wraps the page
                 self._pop()
-        self.stack.append((tag, len(self.elements), reason))
+        self.around.append(self.stack[-1][1] if self.stack else -1)
+        self.stack.append((tag, len(self.elements), reason, within))
         self.elements.append(tag)
+        self.open[tag] += 1
         if reason:
-            self.out.append(reason)
-            self.silent.append(within)
-        self.path = tuple(n for _, n, _ in self.stack)
+            self.out += 1
+            self.why[reason] += 1
+            self.quiet += within
 
     def _implied(self, tag: str) -> None:
         """Closes what an opening tag closes by itself."""
@@ -120,27 +132,35 @@ class Lines(HTMLParser):
             top = self.stack[-1][0] if self.stack else ""
 
     def _pop(self) -> None:
-        if self.stack.pop()[2]:
-            self.out.pop()
-            self.silent.pop()
-        self.path = tuple(n for _, n, _ in self.stack)
+        tag, _, reason, within = self.stack.pop()
+        self.open[tag] -= 1
+        if reason:
+            self.out -= 1
+            self.why[reason] -= 1
+            self.quiet -= within
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in INLINE and tag not in SILENT:
-            self._end_line()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
+        block = tag not in INLINE and tag not in SILENT
+        if not self.open[tag]:
+            if block and not self.quiet:
+                self._end_line()
+            return
+        if block:
+            while self.quiet and self.stack[-1][0] != tag:  # elements within the block that it closes
+                self._pop()
+            if not self.quiet:
+                self._end_line()
+        while self.stack[-1][0] != tag:
+            if not block and tag in INLINE and self.stack[-1][0] not in INLINE:
                 return
+            self._pop()
+        self._pop()
 
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.pieces.append(data)
-        elif not any(self.silent) and not self.pieces and data.strip():
+        elif not self.quiet and not self.pieces and data.strip():
             self.pieces.append("\0")  # an excluded line; its text isn't needed
 
     def close(self) -> None:
@@ -162,20 +182,25 @@ def _region(lines: Lines) -> list[str]:
     size = np.array([len(t) for t, *_ in rows], float) * kept
     smooth = _smoothed(size / np.array([max(1, n) for _, n, *_ in rows])) * kept
     content = kept & (smooth >= THRESHOLD * smooth.std())
-    total = float(size[content].sum())
-    held: dict[int, float] = {}
+    held = np.zeros(len(lines.elements))
     for k in np.flatnonzero(content):
-        for e in rows[k][2]:
-            held[e] = held.get(e, 0) + size[k]
-    named = [e for e in held if lines.elements[e] in ("article", "main") and held[e] >= 0.25 * total]
-    inside = named or [e for e in held if lines.elements[e] in CONTAINERS]
-    most = [e for e in inside if held[e] >= HOLDS * total]
-    chosen = {max(most)} if most else set(named)  # elements are numbered as they open: the last around most text is the deepest
+        if rows[k][2] >= 0:
+            held[rows[k][2]] += size[k]
+    for e in range(len(held) - 1, -1, -1):  # an element opens after the one around it
+        if lines.around[e] >= 0:
+            held[lines.around[e]] += held[e]
+    total = float(size[content].sum())
+    named = [e for e in np.flatnonzero(held >= PART * total).tolist() if lines.elements[e] in ("article", "main")]
+    most = [e for e in np.flatnonzero(held >= HOLDS * total).tolist() if (lines.elements[e] in ("article", "main") if named else lines.elements[e] in CONTAINERS)]
+    chosen = {max(most)} if most else set(named)  # the last to open of those around nearly all text is the deepest
     if chosen:
-        inside = [k for k, (_, _, path, out) in enumerate(rows) if not out and chosen & set(path)]
+        within = np.zeros(len(held) + 1, bool)  # the last one stands for no element
+        for e, parent in enumerate(lines.around):
+            within[e] = e in chosen or within[parent]
+        inside = [k for k, (_, _, e, out) in enumerate(rows) if not out and within[e]]
         return [rows[k][0] for k in _title(lines, inside) + inside]
     first, last = np.flatnonzero(content)[[0, -1]].tolist()  # text straight in the body: from its first line to its last
-    while first and kept[first - 1] and rows[first - 1][2] and lines.elements[rows[first - 1][2][-1]] in HEADINGS:
+    while first and kept[first - 1] and rows[first - 1][2] >= 0 and lines.elements[rows[first - 1][2]] in HEADINGS:
         first -= 1
     return [t for t, _, _, out in rows[first : last + 1] if not out]
 
@@ -183,7 +208,7 @@ def _region(lines: Lines) -> list[str]:
 def _title(lines: Lines, inside: list[int]) -> list[int]:
     """The top headings right before a region that has none of its own."""
     rows = lines.lines
-    top = lambda k: rows[k][2] and lines.elements[rows[k][2][-1]] == "h1"
+    top = lambda k: rows[k][2] >= 0 and lines.elements[rows[k][2]] == "h1"
     found: list[int] = []
     if not any(map(top, inside)):
         for k in range(inside[0] - 1, -1, -1):
@@ -215,7 +240,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars): a row per row of pages.
 
     Null html counts as empty; a page without main text has an empty one. Whole pages are read, and white space
-    within a block becomes one space. Repeated rows give repeated rows; other columns aren't read.
+    within a block becomes one space. Repeated rows give repeated rows, an empty table an empty result; of elements
+    that hold the same share of the text the one that opens last is taken. Other columns aren't read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole(html_col).alias("html"))
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import brute
@@ -216,3 +217,31 @@ def test_warc_members_stand_alone(tmp_path):
     assert [zlib.decompress(data[o : o + n], 31) for o, n in places] == records
     with pytest.raises(ValueError, match="within a record"):
         list(warc.records([records[1][:-3]]))
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p>Before icon <svg><path/><g><text>x</text></g></svg> after icon.</p>", "Before icon after icon."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>", "Let x=1 be."),
+        ("<p>See <button><div>k</div></button> now.</p>", "See now."),
+        ("<p>Open <select><option>a<option>b</p><p>next</p>", "Open\n\nnext"),
+    ],
+)
+def test_no_text_is_lost_around_what_stands_within_a_block(inner, want):
+    assert html_text.main_text(f"<html><body><article>{inner}</article></body></html>") == want
+
+
+def test_sibling_sections_without_an_article():
+    first, second = "First part of the text. " * 13, "Second part. " * 11
+    page = f"<body><div id=post><div><p>{first}</p></div><section><p>{second}</p></section></div><div class=sidebar>Links</div></body>"
+    assert html_text.main_text(page) == f"{first.strip()}\n\n{second.strip()}"
+    both = f"<main><article><p>{first}</p></article><div><p>{second}</p></div></main>"
+    assert html_text.main_text(f"<body><nav>Menu</nav>{both}</body>") == f"{first.strip()}\n\n{second.strip()}"
+
+
+def test_deep_pages_take_linear_time():
+    start = time.monotonic()
+    assert html_text.main_text("<div>x" * 100_000).count("x") == 100_000
+    html_text.main_text("<div>x" * 30_000 + "</p>" * 30_000 + "<aside>" * 30_000 + "<article>y" * 30_000)
+    assert time.monotonic() - start < 30

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tatterloom.llm.common import whole
 
-SIGMA, RADIUS, THRESHOLD, HOLDS, PART = 1.0, 2, 0.25, 0.95, 0.1
+SIGMA, RADIUS, THRESHOLD, HOLDS, PART = 1.0, 2, 0.25, 0.99, 0.1
 
 #: Tags whose text is never shown or never main text (fixed values).
 DROPPED = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video map nav aside footer menu dialog select option datalist button textarea input label form".split())

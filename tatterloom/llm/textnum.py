@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from xxhash import xxh3_128_digest
 
 #: The six ASCII white-space bytes: space and 0x09-0x0D.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+_SEEDS = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+_CHAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd, so a step is a bijection of its block
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of a block's first bytes
+LONG = 64
 STEP = 1 << 18  # powers are added in such steps
 
 
@@ -38,7 +43,6 @@ class Powers:
         return self.up, self.down
 
 
-BYTES = Powers(0x9E3779B97F4A7C15 | 1), Powers(0xD6E8FEB86659FD93)
 WORDS = Powers(0xBF58476D1CE4E5B9), Powers(0x94D049BB133111EB)
 
 
@@ -68,11 +72,27 @@ class Words:
         self.first = np.concatenate([[0], np.searchsorted(self.starts, ends)])
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = BYTES[family].get(len(self.buffer) + 1)
-        sums = np.zeros(len(self.buffer) + 1, np.uint64)
-        np.cumsum((self.buffer.astype(np.uint64) + np.uint64(1)) * up[: len(self.buffer)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """A 64-bit hash of each word's bytes; the two families are independent.
+
+        Words of up to LONG bytes are chained eight bytes at a time through mix(), all words at once; longer ones
+        take a half of XXH3-128 each.
+        """
+        size = self.ends - self.starts
+        out = mix(size.astype(np.uint64) * _CHAIN[family] + _SEEDS[family])
+        padded = np.concatenate([self.buffer, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.buffer) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+        long = size > LONG
+        some = np.flatnonzero(~long)
+        for k in range(0, LONG, 8):
+            some = some[size[some] > k]
+            if not len(some):
+                break
+            block = eight[self.starts[some] + k] & _LOW[np.minimum(size[some] - k, 8)]
+            out[some] = mix((out[some] ^ block) * _CHAIN[family] + _SEEDS[1 - family])
+        for k in np.flatnonzero(long).tolist():
+            both = xxh3_128_digest(self.buffer[self.starts[k] : self.ends[k]].tobytes())
+            out[k] = int.from_bytes(both[8 * family : 8 * family + 8], "big")
+        return out
 
 
 def gram_sums(words: np.ndarray, family: int = 0) -> np.ndarray:

@@ -9,12 +9,17 @@ import uuid
 from pathlib import Path
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A table of at most so many narrow rows (two longs) may be broadcast: 64 MB at most as a hash table.
 BROADCAST_ROWS = 500_000
+#: At most so many hot groups are broadcast.
+HOT = 100_000
+#: A bitmap holds so many rows of a file (the size of bitmap_construct_agg's), and a broadcast so many bitmaps: 32 MB.
+BITMAP_ROWS, BITMAPS = 1 << 15, 1 << 13
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,6 +30,8 @@ def shared_root(spark: SparkSession) -> str:
         if existing.isDefined():
             root = existing.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             own = tempfile.mkdtemp(prefix="tatterloom-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             root = Path(own).as_uri()
@@ -69,9 +76,32 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 1 << 30
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Columns that tell rows apart unless they repeat id and text."""
-    return [F.col(id_col).alias("_row_id"), F.xxhash64(whole(text_col)).alias("_row_hash")]
+def _scans_files(docs: DataFrame) -> bool:
+    """Whether docs is one scan of files, at most filtered and projected, so that a place in a file is one row."""
+    lines = [line.lstrip(" :+-") for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return all(line.startswith(("Project", "Filter", "Relation")) for line in lines) and sum(line.startswith("Relation") for line in lines) == 1
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """docs, written first unless it is a scan of Parquet files already."""
+    if _scans_files(docs):
+        try:
+            docs.select(*place(docs))
+            return docs
+        except AnalysisException:
+            pass
+    return written(docs, "documents")
+
+
+def place(docs: DataFrame) -> list[Column]:
+    """(file, row): where each row of a stored table is; no two rows share one."""
+    at = docs.metadataColumn("_metadata")
+    return [F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row")]
+
+
+def row_key(docs: DataFrame, id_col: str) -> list[Column]:
+    """The id and the place of each row of a stored table."""
+    return [F.col(id_col).alias("_row_id"), *place(docs)]
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -79,22 +109,46 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
-    """docs without the rows that decisions (_row_id, _row_hash, kept; a written table, a row per row of docs) drops.
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows left-joined with groups (key, size, ...; a row per key, a written table) so that no hot key is one task's.
+
+    Groups of over a HOT-th of all their rows are at most HOT, so they are broadcast and their rows never shuffle;
+    the rows of the others do, and AQE splits what is skewed among them.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > total // HOT)
+    rest = groups.where(F.col(size) <= total // HOT)
+    if rest.isEmpty():
+        return rows.join(F.broadcast(hot), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left"))
+
+
+def bit_of(bits: Column, at: Column) -> Column:
+    """Whether a bitmap of bitmap_construct_agg has a place's bit; false for a null bitmap."""
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of a stored table that decisions (file, row, kept; a written table, a row per row of docs) keeps.
 
-    Rows that repeat id and text share a key: if any of them is kept, one stays with `once`, else all; otherwise none.
+    The rows that go become bitmaps of a file's rows, and the bitmaps are broadcast, BITMAPS at a time, to a scan of
+    the files that they are of; so a text is never shuffled, and each file is read once.
     """
-    keys = decisions.groupBy("_row_id", "_row_hash").agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
-    keys = written(keys.where(~F.col("_any") | (F.lit(once) & (F.col("_n") > 1))), "keys")
     own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    mark = "_row_hash"
-    while mark in map(str.lower, docs.columns):
-        mark = f"_{mark}"
-    tagged = docs.withColumn(mark, F.xxhash64(whole(text_col)))
-    same = tagged[id_col].eqNullSafe(F.col("_r._row_id")) & (tagged[mark] == F.col("_r._row_hash"))
-    stay = tagged.join(bounded(keys).alias("_r"), same, "left_anti").select(*own)
-    ties = keys.where("_any")
-    if ties.isEmpty():
-        return stay
-    again = tagged.join(bounded(ties).alias("_r"), same, "left_semi").dropDuplicates([id_col, mark]).select(*own)
-    return stay.unionByName(again)
+    names = [f"_own{k}" for k in range(len(own))]
+    gone = decisions.where(~F.col("kept")).groupBy("file", F.shiftright("row", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(BITMAP_ROWS - 1)).alias("bits"))
+    gone = written(gone, "gone")
+    groups = gone.count() // BITMAPS + 1
+    scanned = docs.select(*[c.alias(n) for c, n in zip(own, names, strict=True)], *place(docs))
+    if groups == 1:
+        parts = [(scanned, gone)]
+    else:  # files are dealt into groups by hash
+        share = F.pmod(F.xxhash64("file"), F.lit(2 * groups))
+        parts = [(scanned.where(share == k), gone.where(share == k)) for k in range(2 * groups)]
+    out = None
+    for rows, bitmaps in parts:
+        rows = rows.withColumn("block", F.shiftright("row", 15)).join(F.broadcast(bitmaps), ["file", "block"], "left")
+        rows = rows.where(~bit_of(F.col("bits"), F.col("row").bitwiseAND(BITMAP_ROWS - 1))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+        out = rows if out is None else out.unionByName(rows) if len(set(docs.columns)) == len(docs.columns) else out.union(rows)
+    return out

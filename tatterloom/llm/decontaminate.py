@@ -3,10 +3,12 @@
 Words become 64-bit hashes, and runs of words are hashed by doubling: the hash of 2n words comes from the two of n
 words, so each length takes one pass over an array. Of every WINDOWS consecutive hashes of GRAM words the least (the
 last of equals) is a fingerprint, so any shared span of GRAM + WINDOWS - 1 = 10 words has one at the same place in
-both texts. The fingerprints of documents are joined with those of the benchmark, each with the hashes of the
-windows of ten words that hold it; where such windows agree, the hit extends to their words. Only the fingerprints
-are exploded, never words, and only hits shuffle. Items of fewer than ten words are one window each and are looked
-up among all document runs of their length; such lengths cost nothing where no item has them.
+both texts. Items of fewer than ten words are one window each and are looked up among all document runs of their
+length; such lengths cost nothing where no item has them. The fingerprints of documents meet those of the benchmark by
+a broadcast if these are few; otherwise a bitmap of the benchmark's fingerprints is broadcast, of at most MAX_CELLS
+bits, and only what it lets through shuffles. A shared fingerprint gives the windows that could hold it; only texts
+with such windows are read again, and their windows' words themselves are joined with the benchmark's, so no hash
+decides a hit.
 """
 
 from __future__ import annotations
@@ -14,19 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import ascii_lower, bounded, keep_rows, row_key, whole, written
+from tatterloom.llm.common import BROADCAST_ROWS, ascii_lower, bit_of, bounded, keep_rows, place, row_key, stored, whole, written
 
 WINDOW = 10
 GRAM = 8
 WINDOWS = WINDOW - GRAM + 1
+#: Fingerprints of the benchmark that are broadcast; beyond, their bitmap of CELLS_PER_KEY cells each is.
+MOST_KEYS = 200_000
+CELLS_PER_KEY, MAX_CELLS = 16, 1 << 30
 #: What isn't part of a word, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def word_hashes(text: Column) -> Column:
-    """An array of the words' hashes."""
-    words = F.filter(F.split(ascii_lower(text), SEPARATORS), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(ascii_lower(text), SEPARATORS), lambda w: w != "")
 
 
 def _shift(a: Column, by: int) -> Column:
@@ -76,75 +79,92 @@ def _places(grams: Column) -> Column:
 
 
 def _marks(short: list[int]) -> Column:
-    """Structs (place, length, key, around): the fingerprints, and all runs of the short lengths.
-
-    around holds the hashes of the windows that hold the fingerprint, by their start relative to it.
-    """
-    none = F.lit(None).cast("array<bigint>")
-
-    def mark(p: Column) -> Column:
-        around = F.array(*[F.get(F.col(f"w{WINDOW}"), p - j) for j in range(WINDOWS)])
-        return F.struct(p.alias("place"), F.lit(WINDOW).alias("length"), F.get(F.col(f"w{GRAM}"), p).alias("key"), around.alias("around"))
+    """Structs (place, length, key): the fingerprints, and all runs of the short lengths."""
 
     def run_of(n: int):
-        return lambda h, i: F.struct(i.alias("place"), F.lit(n).alias("length"), F.xxhash64(h, F.lit(n)).alias("key"), none.alias("around"))
+        return lambda h, i: F.struct(i.alias("place"), F.lit(n).alias("length"), F.xxhash64(h, F.lit(n)).alias("key"))
 
-    marks = F.transform(F.col("places"), mark)
+    marks = F.transform("places", lambda p: F.struct(p.alias("place"), F.lit(WINDOW).alias("length"), F.get(F.col(f"w{GRAM}"), p).alias("key")))
     for n in short:
-        marks = F.concat(marks, F.transform(F.col(f"w{n}"), run_of(n)))
+        marks = F.concat(marks, F.transform(f"w{n}", run_of(n)))
     return marks
 
 
 def _prepared(rows: DataFrame, short: list[int]) -> DataFrame:
     """rows (with `text`) with w<n> and the places of fingerprints."""
-    rows = with_runs(rows.withColumn("w1", word_hashes(F.col("text"))).drop("text"), [GRAM, WINDOW, *short])
-    return rows.withColumn("places", _places(F.col(f"w{GRAM}")))
+    rows = rows.withColumn("w1", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
+    return with_runs(rows, [GRAM, *short]).withColumn("places", _places(F.col(f"w{GRAM}")))
+
+
+def _line(words: Column, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, length), " ")
+
+
+def _index(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """((class, item) of items, a class having one sequence of words; its (line, class) windows; the fingerprints; the lengths under WINDOW that occur)."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.array_join(words_of(whole(text_col)), " ").alias("text")).where("text <> ''")
+    classes = written(items.select("text").distinct().select("text", F.monotonically_increasing_id().alias("class")), "classes")
+    words = classes.select("class", "text", F.split("text", " ").alias("w")).withColumn("n", F.size("w"))
+    short = sorted(r[0] for r in words.where(F.col("n") < WINDOW).select("n").distinct().collect())  # under ten numbers
+    length = F.least("n", F.lit(WINDOW))
+    windows = words.select("class", "w", length.alias("length"), F.explode(F.sequence(F.lit(0), F.col("n") - length)).alias("start"))
+    windows = written(windows.select(_line(F.col("w"), F.col("start"), F.col("length")).alias("line"), "class").distinct(), "windows")
+    marks = _prepared(words.select("n", "text"), short).select("n", F.explode(_marks(short)).alias("m")).where(F.col("m.length") == length)
+    return items.join(classes, "text").select("class", "item"), windows, written(marks.select("m.key", "m.length").distinct(), "keys"), short
 
 
-def _index(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(classes of items with the same words, their marks, the lengths under WINDOW that occur)."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), whole(text_col).alias("text"))
-    items = items.withColumn("w1", word_hashes(F.col("text"))).where(F.size("w1") > 0)
-    classes = items.groupBy("w1").agg(F.first("text").alias("text"), F.collect_list("item").alias("items"))
-    classes = written(classes.select("text", "items", F.size("w1").alias("n"), F.xxhash64("w1").alias("class")), "classes")
-    short = sorted(r[0] for r in classes.where(F.col("n") < WINDOW).select("n").distinct().collect())  # under ten numbers
-    marks = _prepared(classes, short).select("class", "n", F.explode(_marks(short)).alias("m")).where(F.col("m.length") == F.least("n", F.lit(WINDOW)))
-    marks = marks.groupBy("m.key", "m.length", "m.around").agg(F.collect_set("class").alias("classes"))
-    return classes.select("class", "items"), written(marks, "marks"), short
+def _known(marks: DataFrame, keys: DataFrame) -> DataFrame:
+    """The marks with a key and length of keys, and those of place -1."""
+    own = F.col("place") < 0
+    if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        met = marks.join(F.broadcast(keys.withColumn("known", F.lit(True))), ["key", "length"], "left")
+        return written(met.where(own | F.col("known")).drop("known"), "met")
+    cells = min(MAX_CELLS, 1 << (CELLS_PER_KEY * keys.count() - 1).bit_length())
+    cell, least = F.pmod(F.xxhash64("key", "length"), F.lit(cells)), (1 << 15) - 1
+    bitmaps = written(keys.groupBy(F.shiftright(cell, 15).alias("bucket")).agg(F.bitmap_construct_agg(cell.bitwiseAND(least)).alias("bits")), "bitmaps")
+    met = marks.withColumn("bucket", F.shiftright(cell, 15)).join(F.broadcast(bitmaps), "bucket", "left").where(own | bit_of(F.col("bits"), cell.bitwiseAND(least)))
+    met = written(met.select(marks.columns), "met")
+    return met.where(own).unionByName(written(met.where(~own).join(keys, ["key", "length"]).select(met.columns), "known"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(_row_id, _row_hash, n_words, n_hit, items): a row per row of docs.
+    """(_row_id, file, row, n_words, n_hit, items): a row per row of docs.
 
     A document word is hit if it lies in an occurrence of a window: ten consecutive words of an item, or all words of
     a shorter item. items are the ids, as sorted strings, of the items with such windows; null ids are left out. Null
     texts have no words; items without words have no window. An empty benchmark hits nothing; an empty table gives an
     empty result. Repeated rows are rows of their own; other columns are not read.
     """
-    classes, index, short = _index(benchmark, item_col, item_text_col)
-    rows = docs.select(*row_key(id_col, text_col), whole(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    rows = _prepared(rows, short)
-    first = F.struct(F.lit(-1).alias("place"), F.size("w1").alias("length"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<bigint>").alias("around"))
-    marks = rows.select("uid", "_row_id", "_row_hash", F.explode(F.concat(F.array(first), _marks(short))).alias("m")).select("uid", "_row_id", "_row_hash", "m.*")
-    known = bounded(index.select("key", F.col("length").alias("_length"), F.col("around").alias("_around"), "classes"), 200_000)
-    met = marks.join(known, "key", "left").where((F.col("place") < 0) | (F.col("_length") == F.col("length")))
-    agree = F.when(F.col("length") < WINDOW, F.array("place")).otherwise(
-        F.array_compact(F.transform(F.col("around"), lambda w, j: F.when(w == F.get(F.col("_around"), j), F.col("place") - j)))
-    )
-    met = met.withColumn("starts", F.when(F.col("place") < 0, F.array().cast("array<int>")).otherwise(agree))
-    met = written(met.where((F.col("place") < 0) | (F.size("starts") > 0)).select("uid", "_row_id", "_row_hash", "place", "length", "starts", "classes"), "hits")
-    found = met.where("place >= 0")
-    words = F.transform(F.col("starts"), lambda s: F.sequence(s, s + F.col("length") - 1))
-    hit = found.groupBy("uid").agg(F.size(F.array_distinct(F.flatten(F.flatten(F.collect_list(words))))).alias("n_hit"))
-    of = found.select("uid", F.explode("classes").alias("class")).distinct().join(bounded(classes, 200_000), "class")
-    of = of.groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    base = met.where("place < 0").select("uid", "_row_id", "_row_hash", F.col("length").cast("long").alias("n_words"))
-    all_rows = base.join(hit, "uid", "left").join(of, "uid", "left")
+    docs = stored(docs)
+    items, windows, keys, short = _index(benchmark, item_col, item_text_col)
+    rows = _prepared(docs.select(*row_key(docs, id_col), whole(text_col).alias("text")), short)
+    first = F.struct(F.lit(-1).alias("place"), F.size("w1").alias("length"), F.lit(None).cast("long").alias("key"))
+    marks = rows.select("_row_id", "file", "row", F.size("w1").alias("n"), F.explode(F.concat(F.array(first), _marks(short))).alias("m")).select("_row_id", "file", "row", "n", "m.*")
+    met = _known(marks, keys)
+    starts = F.when(F.col("length") < WINDOW, F.array("place")).otherwise(F.sequence(F.greatest(F.col("place") - (WINDOWS - 1), F.lit(0)), F.least("place", F.col("n") - WINDOW)))
+    maybe = met.where("place >= 0").groupBy("file", "row").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("length").alias("length")))))).alias("spans"))
+    maybe = written(maybe, "maybe")
+    again = docs.select(*place(docs), whole(text_col).alias("text"))
+    if maybe.limit(BROADCAST_ROWS // 10 + 1).count() > BROADCAST_ROWS // 10:  # texts without a candidate don't shuffle
+        own = docs.select(whole(text_col).alias("text"), *place(docs))
+        gone = met.where("place < 0").select("file", "row").join(maybe.select("file", "row", F.lit(True).alias("kept")), ["file", "row"], "left")
+        again = keep_rows(own.withColumnsRenamed({"file": "_f", "row": "_r"}), written(gone.select("file", "row", F.coalesce("kept", F.lit(False)).alias("kept")), "candidates")).withColumnsRenamed({"_f": "file", "_r": "row"})
+    else:
+        maybe = F.broadcast(maybe)
+    spans = again.join(maybe, ["file", "row"]).select("file", "row", words_of(F.col("text")).alias("w"), F.explode("spans").alias("s"))
+    lines = spans.select("file", "row", "s.*", _line(F.col("w"), F.col("s.start"), F.col("s.length")).alias("line"))
+    found = written(lines.join(bounded(windows, MOST_KEYS), "line").select("file", "row", "start", "length", "class"), "hits")
+    hit = found.groupBy("file", "row").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))))).alias("n_hit"))
+    of = found.select("file", "row", "class").distinct().join(bounded(items, MOST_KEYS), "class").where("item is not null")
+    of = of.groupBy("file", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    base = met.where("place < 0").select("_row_id", "file", "row", F.col("n").cast("long").alias("n_words"))
+    all_rows = base.join(hit, ["file", "row"], "left").join(of, ["file", "row"], "left")
     none = F.array().cast("array<string>")
-    return all_rows.select("_row_id", "_row_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return all_rows.select("_row_id", "file", "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no window of the benchmark occurs in, with all their columns."""
+    docs = stored(docs)
     found = contamination(docs, benchmark, id_col, text_col)
-    return keep_rows(docs, written(found.select("_row_id", "_row_hash", (F.col("n_hit") == 0).alias("kept")), "decisions"), id_col, text_col)
+    return keep_rows(docs, written(found.select("file", "row", (F.col("n_hit") == 0).alias("kept")), "decisions"))

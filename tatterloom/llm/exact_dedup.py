@@ -1,12 +1,12 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-The text is read once, for a narrow table of digests. Pass 1 over the digests counts the cells of a Bloom filter
-(two cells a row) and keeps, as bitmaps of 32,768 cells, those that were hit twice: a row whose text occurs again
-has both cells among them. Partial filters travel as the counters of the cells they touch, combined on the map
-side; a dense partial filter from each task would be larger once there are over half a dozen tasks. Pass 2 probes
-the bitmaps, which are broadcast: their size is bounded by MAX_CELLS / 8 bytes. Rows with a cell that was hit once
-go straight to the result; only the others shuffle, as digests, and are grouped by SHA-256. Beyond MAX_CELLS the
-filter gets fuller, so more rows shuffle and the result is the same.
+The text is read once, for a narrow table of digests, dealt by a prefix of the digest into slices of at most
+SLICE_ROWS rows on average, so that each slice's filter has CELLS_PER_ROW cells a row at any size of the input. Pass 1
+counts the cells of a slice's filter (two cells a row) and keeps, as bitmaps of 32,768 cells, those that were hit
+twice: a row whose text occurs again has both cells among them. Partial filters travel as the counters of the cells
+they touch, combined on the map side; a dense partial filter from each task would be larger once there are over half a
+dozen tasks. Pass 2 probes the slice's bitmaps, which are broadcast: at most MAX_CELLS / 8 bytes. Rows with a cell that
+was hit once go straight to the result; only the others shuffle, as digests, and are grouped by SHA-256.
 """
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import ascii_lower, keep_rows, row_key, whole, written
+from tatterloom.llm.common import ascii_lower, bit_of, keep_rows, row_key, shared_dir, stored, whole, with_groups, written
 
 CELLS_PER_ROW = 16
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 28
+MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 30
+SLICE_ROWS = MAX_CELLS // CELLS_PER_ROW
 _BUCKET = 15  # bits of a cell's place in its bitmap, as in bitmap_construct_agg
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: its key, SHA-256 of the normalised text, and an id of the row itself."""
-    sha = F.unhex(F.sha2(ascii_lower(whole(text_col)), 256))
-    return docs.select(*row_key(id_col, text_col), sha.alias("sha"), F.monotonically_increasing_id().alias("uid"))
+    """A row per row of a stored table: its id and place, and the SHA-256 of the normalised text."""
+    return docs.select(*row_key(docs, id_col), F.unhex(F.sha2(ascii_lower(whole(text_col)), 256)).alias("sha"))
 
 
 def _cell(salt: int, cells: int) -> Column:
@@ -42,38 +42,51 @@ def repeated_cells(rows: DataFrame, cells: int) -> DataFrame:
 def _probe(rows: DataFrame, bitmaps: DataFrame, cells: int) -> DataFrame:
     """Pass 2: rows with `maybe`, false only if the text surely occurs once."""
     for salt in (0, 1):
-        place = f"cast(c{salt} & {(1 << _BUCKET) - 1} as int)"
-        bit = F.expr(f"shiftright(cast(conv(hex(substring(bits, {place} div 8 + 1, 1)), 16, 10) as int), {place} % 8) & 1")
         rows = rows.withColumn(f"c{salt}", _cell(salt, cells)).withColumn("bucket", F.shiftright(f"c{salt}", _BUCKET))
-        rows = rows.join(F.broadcast(bitmaps), "bucket", "left").withColumn(f"m{salt}", F.coalesce(bit == 1, F.lit(False)))
-        rows = rows.drop("bucket", "bits", f"c{salt}")
+        rows = rows.join(F.broadcast(bitmaps), "bucket", "left")
+        rows = rows.withColumn(f"m{salt}", bit_of(F.col("bits"), F.col(f"c{salt}").bitwiseAND((1 << _BUCKET) - 1))).drop("bucket", "bits", f"c{salt}")
     return rows.withColumn("maybe", F.col("m0") & F.col("m1")).drop("m0", "m1")
 
 
+def _slice_decisions(rows: DataFrame, n: int) -> DataFrame:
+    """Decisions on the rows of one slice, n of them."""
+    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (CELLS_PER_ROW * max(1, n) - 1).bit_length()))
+    probed = _probe(rows, written(repeated_cells(rows, cells), "bitmaps"), cells)
+    maybe = probed.where("maybe").drop("maybe")
+    groups = maybe.groupBy("sha").agg(F.max(F.struct("_row_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    again = with_groups(maybe, written(groups.where("group_size > 1"), "groups"), "sha", "group_size")
+    found = again.select(
+        "_row_id", "file", "row", "sha",
+        F.when(F.col("keep").isNull(), F.col("_row_id")).otherwise(F.col("keep._row_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce((F.col("keep.file") == F.col("file")) & (F.col("keep.row") == F.col("row")), F.lit(True)).alias("kept"),
+    )
+    alone = probed.where(~F.col("maybe")).select("_row_id", "file", "row", "sha", F.col("_row_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return alone.unionByName(found)
+
+
 def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of docs: _row_id, _row_hash, sha, keep_id, group_size, kept.
+    """A row per row of a stored table: _row_id, file, row, sha, keep_id, group_size, kept.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays; among rows that repeat id and text, one. A null id is less than any other. An empty table
     gives an empty result; other columns of docs are not read.
     """
-    rows = written(digests(docs, id_col, text_col), "digests")
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (CELLS_PER_ROW * max(1, rows.count()) - 1).bit_length()))
-    probed = _probe(rows, written(repeated_cells(rows, cells), "bitmaps"), cells)
-    maybe = probed.where("maybe")
-    groups = maybe.groupBy("sha").agg(F.max(F.struct("_row_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = written(groups.where("group_size > 1"), "groups")
-    again = maybe.join(groups, "sha", "left")
-    size = F.coalesce("group_size", F.lit(1).cast("long"))
-    found = again.select(
-        "_row_id", "_row_hash", "sha",
-        F.when(F.col("keep").isNull(), F.col("_row_id")).otherwise(F.col("keep._row_id")).alias("keep_id"),
-        size.alias("group_size"), F.coalesce(F.col("keep.uid") == F.col("uid"), F.lit(True)).alias("kept"),
-    )
-    alone = probed.where(~F.col("maybe")).select("_row_id", "_row_hash", "sha", F.col("_row_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return alone.unionByName(found)
+    docs = stored(docs)
+    spark, n = docs.sparkSession, docs.count()
+    slices = -(-n // SLICE_ROWS)
+    if slices <= 1:
+        return _slice_decisions(written(digests(docs, id_col, text_col), "digests"), n)
+    path, of = shared_dir(spark, "digests"), F.pmod(F.xxhash64("sha", F.lit(2)), F.lit(slices)).cast("int")
+    digests(docs, id_col, text_col).withColumn("slice", of).write.partitionBy("slice").parquet(path)
+    rows, out = spark.read.parquet(path), None
+    for k in range(slices):  # one after the other, so that one filter at a time is broadcast
+        found = written(_slice_decisions(rows.where(F.col("slice") == k).drop("slice"), SLICE_ROWS), "slice")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; see duplicate_decisions."""
-    return keep_rows(docs, written(duplicate_decisions(docs, id_col, text_col).select("_row_id", "_row_hash", "kept"), "decisions"), id_col, text_col, once=True)
+    docs = stored(docs)
+    return keep_rows(docs, written(duplicate_decisions(docs, id_col, text_col).select("file", "row", "kept"), "decisions"))

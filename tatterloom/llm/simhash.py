@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import input_bytes, keep_rows, row_key, whole, written
+from tatterloom.llm.common import input_bytes, keep_rows, row_key, stored, whole, with_groups, written
 from tatterloom.llm.components import star_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -50,15 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row_id, _row_hash, fp): a row per row of docs."""
-    rows = docs.select(*row_key(id_col, text_col), whole(text_col).alias("text"))
+    """(_row_id, file, row, fp): a row per row of a stored table."""
+    rows = docs.select(*row_key(docs, id_col), whole(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch["_row_id"], batch["_row_hash"], pa.array(fps.view(np.int64))], ["_row_id", "_row_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("_row_id", "file", "row")), pa.array(fps.view(np.int64))], ["_row_id", "file", "row", "fp"])
 
-    return rows.mapInArrow(run, f"_row_id {rows.schema['_row_id'].dataType.simpleString()}, _row_hash long, fp long")
+    return rows.mapInArrow(run, f"_row_id {rows.schema['_row_id'].dataType.simpleString()}, file long, row long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -206,35 +206,28 @@ def _forests(codes: np.ndarray, bounds: np.ndarray, radius: int) -> pa.RecordBat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row_id, _row_hash, fp, component_id): a row per row of docs.
+    """(_row_id, file, row, fp, component_id): a row per row of docs.
 
     component_id is the smallest id reachable over links, itself included; null ids are skipped, so it is null only
     where every reachable id is. Empty and null texts have fingerprint 0, which links like any other; repeated rows
     are rows of their own in one group. An empty table gives an empty result; other columns of docs are not read.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    codes = written(rows.groupBy("fp").agg(F.min("_row_id").alias("least")), "codes")
+    rows = written(fingerprints(stored(docs), id_col, text_col), "fingerprints")
+    codes = written(rows.groupBy("fp").agg(F.min("_row_id").alias("least"), F.count(F.lit(1)).alias("n")), "codes")
     star = star_components(links(codes))
-    labelled = written(codes.join(star, codes["fp"] == star["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root")), "labelled")
+    labelled = written(codes.join(star, codes["fp"] == star["a"], "left").select("fp", "n", "least", F.coalesce("b", "fp").alias("root")), "labelled")
     linked = labelled.join(star.select(F.col("b").alias("root")).distinct(), "root", "left_semi")
     roots = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    named = labelled.join(roots, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(written(named, "named"), "fp").select("_row_id", "_row_hash", "fp", "component_id")
+    named = labelled.join(roots, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return with_groups(rows, written(named, "named"), "fp", "n").select("_row_id", "file", "row", "fp", "component_id")
 
 
 def least_rows(rows: DataFrame) -> DataFrame:
-    """(_row_id, _row_hash, kept) of rows (_row_id, _row_hash, group): in each group the key with the smallest id is kept.
+    """(file, row, kept) of rows (_row_id, file, row, group): in each group the row with the smallest id is kept.
 
-    A null id is greater than any other; of keys with one id the smaller hash is kept.
+    A null id is greater than any other; of rows with one id the first place is kept.
     """
-    key = F.struct(F.col("_row_id").isNull().alias("none"), F.col("_row_id").alias("id"), F.col("_row_hash").alias("hash"))
-    first = written(rows.groupBy("group").agg(F.min(key).alias("first")), "first")
-    kept = F.col("_row_id").eqNullSafe(F.col("first.id")) & (F.col("_row_hash") == F.col("first.hash"))
-    return rows.join(first, "group").select("_row_id", "_row_hash", kept.alias("kept"))
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each group, with all its columns; of rows that repeat it, one."""
-    found = near_duplicates(docs, id_col, text_col)
-    first = F.col("_row_id").eqNullSafe(F.col("component_id"))
-    return keep_rows(docs, written(found.select("_row_id", "_row_hash", first.alias("kept")), "decisions"), id_col, text_col, once=True)
+    of = [F.col("_row_id").isNull().alias("none"), F.col("_row_id").alias("id"), F.col("file").alias("f"), F.col("row").alias("r")]
+    first = written(rows.groupBy("group").agg(F.min(F.struct(*of)).alias("first"), F.count(F.lit(1)).alias("size")), "first")
+    kept = (F.col("file") == F.col("first.f")) & (F.col("row") == F.col("first.r"))
+    return with_groups(rows, first, "group", "size").select("file", "row", kept.alias("kept"))

@@ -53,6 +53,24 @@ def near_groups(docs):
     return [(d, f"{fp:016x}", least[r]) for (d, _), fp, r in zip(docs, fps, roots, strict=True)]
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def alike(a, b):
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def least_similar(docs):
+    """The least id of each group of texts of similarity 0.8 or more."""
+    roots = components([shingles(t) for _, t in docs], alike)
+    least = {}
+    for (d, _), r in zip(docs, roots, strict=True):
+        least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
+    return sorted(least.values(), key=str)
+
+
 def contamination(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}

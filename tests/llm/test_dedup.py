@@ -36,7 +36,7 @@ def test_exact_hot_copies(spark):
 
 
 def test_empty_tables(empty):
-    for f in (exact_dedup.duplicate_decisions, exact_dedup.exact_dedup, simhash.near_duplicates, simhash.near_dedup, substring_dedup.repeat_digests):
+    for f in (exact_dedup.duplicate_decisions, exact_dedup.exact_dedup, simhash.near_duplicates, substring_dedup.repeat_digests):
         assert f(empty).count() == 0
 
 
@@ -45,13 +45,6 @@ def test_simhash_groups(docs, rows):
     assert sorted(found, key=str) == sorted(brute.near_groups(rows), key=str)
 
 
-def test_simhash_keeps_one_row_of_each_group(docs, rows):
-    groups = {c for _, _, c in brute.near_groups(rows)}
-    found = simhash.near_dedup(docs)
-    assert found.columns == docs.columns
-    assert sorted((r.doc_id for r in found.collect()), key=str) == sorted(groups, key=str)
-
-
 @pytest.mark.parametrize("spread", [1, 40])
 def test_forest_is_all_links(spread):
     rng = np.random.default_rng(spread)

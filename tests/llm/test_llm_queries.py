@@ -58,7 +58,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     left = [d for d in docs if d[0] in good]
     kept = {keep for _, keep, _, _ in brute.exact_groups(left)}
     left = [d for d in left if d[0] in kept]
-    least = {c for _, _, c in brute.near_groups(left)}
+    least = set(brute.least_similar(left))
     left = [d for d in left if d[0] in least]
     items = [(r.item_id, r.text) for r in documents(spark, "benchmark").collect()]
     clean = {d for d, _, hit, _ in brute.contamination(left, items) if not hit}

@@ -57,7 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts its lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -129,26 +138,28 @@ def bit_of(bits: Column, at: Column) -> Column:
     return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of a stored table that decisions (file, row, kept; a written table, a row per row of docs) keeps.
+def by_bitmaps(rows: DataFrame, places: DataFrame, stay: bool) -> DataFrame:
+    """The rows (file, row, ...) whose place is (stay) or isn't (not stay) among places (file, row).
 
-    The rows that go become bitmaps of a file's rows, and the bitmaps are broadcast, BITMAPS at a time, to a scan of
-    the files that they are of; so a text is never shuffled, and each file is read once.
+    Places become bitmaps of a file's rows, and the bitmaps are broadcast, at most BITMAPS of them at a time on
+    average, to the rows of the files that they are of. So rows are never shuffled, however many places there are.
     """
-    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    names = [f"_own{k}" for k in range(len(own))]
-    gone = decisions.where(~F.col("kept")).groupBy("file", F.shiftright("row", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(BITMAP_ROWS - 1)).alias("bits"))
-    gone = written(gone, "gone")
-    groups = gone.count() // BITMAPS + 1
-    scanned = docs.select(*[c.alias(n) for c, n in zip(own, names, strict=True)], *place(docs))
-    if groups == 1:
-        parts = [(scanned, gone)]
-    else:  # files are dealt into groups by hash
-        share = F.pmod(F.xxhash64("file"), F.lit(2 * groups))
-        parts = [(scanned.where(share == k), gone.where(share == k)) for k in range(2 * groups)]
-    out = None
-    for rows, bitmaps in parts:
-        rows = rows.withColumn("block", F.shiftright("row", 15)).join(F.broadcast(bitmaps), ["file", "block"], "left")
-        rows = rows.where(~bit_of(F.col("bits"), F.col("row").bitwiseAND(BITMAP_ROWS - 1))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
-        out = rows if out is None else out.unionByName(rows) if len(set(docs.columns)) == len(docs.columns) else out.union(rows)
+    bitmaps = places.groupBy("file", F.shiftright("row", 15).alias("_block")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(BITMAP_ROWS - 1)).alias("_bits"))
+    bitmaps = written(bitmaps, "bitmaps")
+    groups = 2 * (bitmaps.count() // BITMAPS) or 1
+    share, out = F.pmod(F.xxhash64("file"), F.lit(groups)), None
+    hit = bit_of(F.col("_bits"), F.col("row").bitwiseAND(BITMAP_ROWS - 1))
+    for k in range(groups):  # files are dealt into groups by hash
+        some = rows.where(share == k) if groups > 1 else rows
+        met = some.withColumn("_block", F.shiftright("row", 15)).join(F.broadcast(bitmaps.where(share == k) if groups > 1 else bitmaps), ["file", "_block"], "inner" if stay else "left")
+        met = met.where(hit if stay else ~hit).select(rows.columns)
+        out = met if out is None else out.unionByName(met)
     return out
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of a stored table that decisions (file, row, kept; a row per row of docs) keeps; no text is shuffled."""
+    names = [f"_own{k}" for k in range(len(docs.columns))]
+    own = [F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    stay = by_bitmaps(docs.select(*own, *place(docs)), decisions.where(~F.col("kept")).select("file", "row"), False)
+    return stay.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import BROADCAST_ROWS, ascii_lower, bit_of, bounded, keep_rows, place, row_key, stored, whole, written
+from tatterloom.llm.common import BROADCAST_ROWS, ascii_lower, bit_of, bounded, by_bitmaps, keep_rows, place, row_key, stored, whole, written
 
 WINDOW = 10
 GRAM = 8
@@ -145,12 +145,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     maybe = met.where("place >= 0").groupBy("file", "row").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(starts, lambda s: F.struct(s.alias("start"), F.col("length").alias("length")))))).alias("spans"))
     maybe = written(maybe, "maybe")
     again = docs.select(*place(docs), whole(text_col).alias("text"))
-    if maybe.limit(BROADCAST_ROWS // 10 + 1).count() > BROADCAST_ROWS // 10:  # texts without a candidate don't shuffle
-        own = docs.select(whole(text_col).alias("text"), *place(docs))
-        gone = met.where("place < 0").select("file", "row").join(maybe.select("file", "row", F.lit(True).alias("kept")), ["file", "row"], "left")
-        again = keep_rows(own.withColumnsRenamed({"file": "_f", "row": "_r"}), written(gone.select("file", "row", F.coalesce("kept", F.lit(False)).alias("kept")), "candidates")).withColumnsRenamed({"_f": "file", "_r": "row"})
-    else:
+    if maybe.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10:
         maybe = F.broadcast(maybe)
+    else:  # texts without a candidate don't shuffle
+        again = by_bitmaps(again, maybe.select("file", "row"), True)
     spans = again.join(maybe, ["file", "row"]).select("file", "row", words_of(F.col("text")).alias("w"), F.explode("spans").alias("s"))
     lines = spans.select("file", "row", "s.*", _line(F.col("w"), F.col("s.start"), F.col("s.length")).alias("line"))
     found = written(lines.join(bounded(windows, MOST_KEYS), "line").select("file", "row", "start", "length", "class"), "hits")

@@ -1,15 +1,18 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark and mapped by the workers that score.
-
-Three passes read the training texts. The first counts words by 64-bit hashes: each task sorts and combines what it
-has and deals it out by hash range, so the buckets' sorted arrays are one sorted array, and a word's place in it is its
-number. The second counts pairs (context, word) as one number each, dealt out by ranges that hold like shares of all
-tokens, so that a context which precedes a third of all words is spread over many buckets; a bucket's file holds sorted
-pairs, their counts, and for each context its total and how many words follow it once, twice or oftener. Then the
-buckets' words are counted once per pair, which gives the words' continuation counts. Scoring maps these files and
-looks up each batch's distinct words and pairs in them by binary search, in order. Everything that is gathered is on
-disk and grows with the corpus; the driver holds a few numbers per bucket.
-
-The order is 2: pairs that occur are under half the tokens of this kind of text, triples nearly all of them.
+"""An interpolated modified Kneser-Ney model of word sequences, counted in Spark and mapped by the workers that score.
+
+A pass over the training texts per order. The first counts words by 64-bit hashes: each task sorts and combines what
+it has and deals it out by hash range, so the buckets' sorted arrays are one sorted array, and a word's place in it is
+its number. Pass k counts sequences of k words as (context, word): the number of the k - 1 words before, and the
+word's. Buckets are ranges of (context, word) that hold like numbers of tokens, so a context that precedes a third of
+all words is spread over many. A bucket's file holds the words after each context, sorted, and where each context's
+words begin; a sequence's place in these is its number, which the next order's contexts are. The longest sequences
+keep their counts; shorter ones get the number of different words before them, counted from the next order, and
+those that begin a text, which have none, keep their counts.
+
+Scoring maps these files and looks up each piece's distinct words and sequences, in the buckets that occur, by binary
+search. Everything that is gathered is on disk and grows with the corpus; files are named by their bucket's number,
+and the driver holds a few numbers per bucket. A bucket grows with the input from LEAST_BYTES to MOST_BYTES of text,
+so 100 TB have some three million.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import mmap
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -26,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import filesystem, input_bytes, shared_dir, whole, written
+from tatterloom.llm.common import discard, filesystem, input_bytes, shared_dir, whole, written
 from tatterloom.llm.textnum import Words, chunks
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end's hash
-BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16
+ORDER = 3
+LEAST_BYTES, MOST_BYTES, LEAST_BUCKETS = 4 << 20, 32 << 20, 16
 HELD = 1_000_000  # entries that a task holds before it combines them
-POINTS = 64  # quantiles of the words' counts that a bucket reports
+MANY = 32  # words after a context; if there are more, its sums are stored
 SMOOTH = 0.1  # of the base score
 
 
@@ -52,93 +56,137 @@ def mapped(uri: str) -> memoryview:
         return memoryview(f.read_buffer())
 
 
-class Arrays:
-    """Some arrays in one file."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def write(self, *arrays: np.ndarray) -> str:
-        """The file's URI, with the arrays' types and sizes."""
-        name = f"{self.folder}/{uuid.uuid4().hex}"
-        fs, path = filesystem(name)
-        with fs.open_output_stream(path) as f:
-            for a in arrays:
-                f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
-        return f"{name}?" + ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays)
+def store(uri: str, *data: np.ndarray) -> None:
+    """Writes some arrays as one file, which replaces one of that name: a task that runs again writes the same."""
+    head = ",".join(f"{a.dtype.str}:{len(a)}" for a in data).encode()
+    fs, path = filesystem(uri)
+    aside = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(aside) as f:
+        f.write(len(head).to_bytes(8, "little") + head + bytes(-len(head) % 8))
+        for a in data:
+            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
+    fs.move(aside, path)
 
 
 @lru_cache(4096)
 def arrays(uri: str) -> tuple[np.ndarray, ...]:
-    """What Arrays.write() wrote."""
-    name, _, spec = uri.partition("?")
-    parts = [(np.dtype(t), int(n)) for t, n in (s.split(":") for s in spec.split(","))]
-    data = mapped(name) if any(n for _, n in parts) else b""
-    out, at = [], 0
-    for t, n in parts:
-        out.append(np.frombuffer(data, t, n, at))
-        at += -(-n * t.itemsize // 8) * 8
+    """What store() wrote."""
+    data = mapped(uri)
+    n = int.from_bytes(data[:8], "little")
+    out, at = [], 8 + -(-n // 8) * 8
+    for kind, size in (x.split(":") for x in bytes(data[8 : 8 + n]).decode().split(",")):
+        out.append(np.frombuffer(data, kind, int(size), at))
+        at += -(-out[-1].nbytes // 8) * 8
     return tuple(out)
 
 
-def combined(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.intp)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+def packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as bytes; where a byte is 0, the places and counts of those that need more."""
+    large = np.flatnonzero((counts > 255) | (counts == 0))
+    return np.where((counts > 255) | (counts == 0), 0, counts).astype(np.uint8), large, counts[large]
+
+
+def unpacked(small: np.ndarray, large_at: np.ndarray, large: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = small[places].astype(np.int64)
+    big = np.flatnonzero(out == 0)
+    if len(big):
+        out[big] = large[np.searchsorted(large_at, places[big])]
+    return out
+
+
+def sorting(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The order of pairs of uint64, by one key if they fit in it."""
+    if not len(hi):
+        return np.zeros(0, np.intp)
+    bits = int(lo.max()).bit_length()
+    if int(hi.max()).bit_length() + bits <= 64 and bits < 64:
+        return np.argsort((hi << np.uint64(bits)) | lo, kind="stable")
+    return np.lexsort((lo, hi))
+
+
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a sorted sequence of keys changes."""
+    if not len(keys[0]):
+        return np.zeros(0, np.intp)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
 
+def combined(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs and their summed counts."""
+    order = sorting(hi, lo)
+    hi, lo, counts = hi[order], lo[order], counts[order]
+    first = firsts(hi, lo)
+    return hi[first], lo[first], np.add.reduceat(counts, first) if len(first) else counts
 
-def planes(x: np.ndarray) -> bytes:
-    """An ascending array's steps, all first bytes, then all second ones ...: most planes are zeros, which shuffles squeeze."""
-    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
+def planes(x: np.ndarray, ascending: bool = False) -> bytes:
+    """All first bytes, then all second ones ... of 64-bit numbers, or of their steps: most planes are zeros, which shuffles squeeze."""
+    x = x.astype(np.uint64)
+    return (np.diff(x, prepend=np.uint64(0)) if ascending else x).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def unplaned(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
+
+def unplaned(data: bytes, ascending: bool = False) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(x, dtype=np.uint64) if ascending else x
 
 
 class Counter:
-    """A task's counts of keys, combined when there are many and given out when they still are."""
+    """A task's counts of pairs, combined when there are many and given out when they still are."""
 
     def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> bool:
+    def add(self, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray | None = None) -> bool:
         """Whether take() is due."""
         if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.keys.append(keys)
-        self.counts.append(counts.astype(np.int64))
-        self.size += len(keys)
+            hi, lo, counts = combined(hi, lo, np.ones(len(hi), np.int64))
+        self.held.append((hi, lo, counts))
+        self.size += len(hi)
         if self.size > HELD:
-            k, c = combined(self.keys, self.counts)
-            self.keys, self.counts, self.size = [k], [c], len(k)
+            self.held = [combined(*map(np.concatenate, zip(*self.held, strict=True)))]
+            self.size = len(self.held[0][0])
         return self.size > HELD * 0.75
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        found = combined(self.keys, self.counts) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.keys, self.counts, self.size = [], [], 0
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found = combined(*map(np.concatenate, zip(none, *self.held, strict=True)))
+        self.held, self.size = [], 0
         return found
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, keys, counts); bucket k has the keys from bounds[k] on."""
-    at = np.append(np.searchsorted(keys, bounds), len(keys))
-    rows = [(k, planes(keys[a:b]), np.minimum(counts[a:b], 1 << 62).astype(np.int64)) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-    if rows:
-        packed = [c.view(np.uint8).reshape(-1, 8).T.tobytes() for *_, c in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array(packed, pa.binary())], ["bucket", "keys", "counts"])
+@dataclass
+class Bounds:
+    """The least (context, word) of each bucket, ascending; a context may have several, which share its words."""
+
+    hi: np.ndarray
+    lo: np.ndarray
+
+    def bucket(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.hi, hi), np.searchsorted(self.hi, hi, "right")
+        out = a - 1 + ((b > a) & (self.lo[np.minimum(a, len(self.lo) - 1)] <= lo))
+        for k in np.flatnonzero(b > a + 1):
+            out[k] = a[k] - 1 + np.searchsorted(self.lo[a[k] : b[k]], lo[k], "right")
+        return out
+
 
+def dealt(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray, bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, hi, lo, counts) of sorted pairs."""
+    if len(hi):
+        bucket = bounds.bucket(hi, lo)
+        cut = np.append(firsts(bucket), len(hi))
+        parts = [(int(bucket[a]), planes(hi[a:b], True), planes(lo[a:b]), planes(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], pa.binary() if k else pa.int32()) for k in range(4)], ["bucket", "hi", "lo", "counts"])
 
-DEALT = "bucket int, keys binary, counts binary"
 
+DEALT = "bucket int, hi binary, lo binary, counts binary"
 
-def _counted(rows: DataFrame, count: Callable[[list[bytes], Counter], bool], bounds: np.ndarray) -> DataFrame:
+
+def _counted(rows: DataFrame, count: Callable[[list[bytes], Counter], bool], bounds: Bounds) -> DataFrame:
     """DEALT rows of what `count` adds to a counter for pieces of the texts of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,137 +195,274 @@ def _counted(rows: DataFrame, count: Callable[[list[bytes], Counter], bool], bou
             texts = [t.as_py().encode().lower() for t in batch["text"]]
             for a, b in chunks(texts):
                 if count(texts[a:b], counter):
-                    yield from _dealt(*counter.take(), bounds)
-        yield from _dealt(*counter.take(), bounds)
+                    yield from dealt(*counter.take(), bounds)
+        yield from dealt(*counter.take(), bounds)
 
     return rows.mapInArrow(run, DEALT)
 
 
-def _reduced(dealt: DataFrame, buckets: int, make: Callable[[int, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """make(bucket, keys, counts) over each bucket's combined keys, a bucket at a time; its rows have `schema`."""
-    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-    fields = [c.strip().split(" ") for c in schema.split(", ")]
+MADE = "bucket int, hi binary, lo binary, counts binary, about array<long>"
+_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+
+
+def _reduced(rows: DataFrame, buckets: int, make: Callable[..., Iterator[tuple]], name: str) -> DataFrame:
+    """A written table of the MADE rows of make(bucket, hi, lo, counts) over each bucket's combined pairs, a bucket at a time."""
 
     def done(bucket: int, counter: Counter) -> Iterator[pa.RecordBatch]:
-        if out := make(bucket, *counter.take()):
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], types[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+        for row in make(bucket, *counter.take()):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], ["bucket", "hi", "lo", "counts", "about"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, counter = None, Counter()
         for batch in batches:
-            for bucket, keys, counts in zip(batch["bucket"].to_pylist(), batch["keys"], batch["counts"], strict=True):
+            for bucket, hi, lo, counts in zip(batch["bucket"].to_pylist(), batch["hi"], batch["lo"], batch["counts"], strict=True):
                 if bucket != at and at is not None:
                     yield from done(at, counter)
                 at = bucket
-                c = np.ascontiguousarray(np.frombuffer(counts.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-                counter.add(unplaned(keys.as_py(), np.uint64), c)
+                counter.add(unplaned(hi.as_py(), True), unplaned(lo.as_py()), unplaned(counts.as_py()).astype(np.int64))
         if at is not None:
             yield from done(at, counter)
 
-    return written(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema), "reduced")
+    return written(rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MADE), name)
+
+
+def _about(made: DataFrame) -> list[tuple[int, list[int]]]:
+    """(bucket, about) of the rows that have it: one per bucket."""
+    return sorted((r["bucket"], r["about"]) for r in made.where("about is not null").select("bucket", "about").collect())
+
+
+@dataclass
+class Order:
+    """Sequences of one length: their buckets, the first number of each, how many there are, and where those that begin a text start."""
+
+    bounds: Bounds
+    offset: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    size: int = 0
+    opening: int = 0
+    discount: tuple[float, ...] = (0.5, 1.0, 1.5)
+    split: dict[int, list[int]] = field(default_factory=dict)  # contexts in several buckets: total, and words that follow once, twice, oftener
 
 
 @dataclass
 class Model:
-    """Places of the arrays, and the few numbers that scoring needs. words: sorted hashes and counts by bucket; then the words' continuation counts; pairs: keys, counts, contexts."""
+    """Where the files are, and the few numbers that scoring needs."""
 
-    words: list[str]
+    folder: str
+    order: int
     word_bounds: np.ndarray
     word_offset: np.ndarray
     tokens: int
     distinct: int
-    continuations: dict[int, str]
-    pairs: dict[int, str]
-    pair_bounds: np.ndarray
-    all_pairs: int
-    discount_pairs: tuple[float, ...]
-    discount_words: tuple[float, ...]
-    spare: float  # the words' share that goes to the uniform distribution
-    split: dict[int, tuple[int, int, int, int]]  # contexts in several buckets: total, and words after them once, twice, oftener
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    orders: dict[int, Order] = field(default_factory=dict)  # from 2
+    word_discount: tuple[float, ...] = (0.5, 1.0, 1.5)
+    spare: float = 1.0  # the words' share that goes to the uniform distribution
+    pairs: int = 0
+
+    def file(self, kind: str, order: int, bucket: int) -> tuple[np.ndarray, ...]:
+        return arrays(f"{self.folder}/{kind}-{order}-{bucket}")
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, count) of each hash; number -1 for unknown words."""
         keys, back = np.unique(hashes, return_inverse=True)
         number, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        at = np.append(np.searchsorted(keys, self.word_bounds), len(keys))
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b > a and self.words[k]:
-                known, n = arrays(self.words[k])
-                place = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                hit = known[place] == keys[a:b]
-                number[a:b][hit] = self.word_offset[k] + place[hit]
-                count[a:b][hit] = n[place[hit]]
+        for k, part in _by_bucket(np.searchsorted(self.word_bounds, keys, "right") - 1):
+            if self.word_offset[k + 1] > self.word_offset[k]:
+                known, *n = self.file("words", 1, k)
+                place = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
+                hit = known[place] == keys[part]
+                number[part] = np.where(hit, self.word_offset[k] + place, -1)
+                count[part] = np.where(hit, unpacked(*n, place), 0)
         return number[back], count[back]
 
-    def continuation(self, numbers: np.ndarray) -> np.ndarray:
+    def before(self, numbers: np.ndarray) -> np.ndarray:
         """How many contexts each known word follows."""
         keys, back = np.unique(numbers, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
-        at = np.append(np.searchsorted(keys, self.word_offset), len(keys))
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b > a and k in self.continuations:
-                out[a:b] = arrays(self.continuations[k])[0][keys[a:b] - self.word_offset[k]]
+        for k, part in _by_bucket(np.searchsorted(self.word_offset, keys, "right") - 1):
+            out[part] = unpacked(*self.file("before", 1, k), keys[part] - self.word_offset[k])
         return out[back]
 
-    def look_up_pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count, total, spare mass times total) of each pair of known numbers."""
-        keys, back = np.unique(context.astype(np.uint64) * np.uint64(self.distinct) + word.astype(np.uint64), return_inverse=True)
-        count, total, spare = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
-        d1, d2, d3 = self.discount_pairs
-        at = np.append(np.searchsorted(keys, self.pair_bounds), len(keys))
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b <= a or k not in self.pairs:
+    def find(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The numbers of the n-word sequences of known contexts and words; -1 for those that don't occur."""
+        of = self.orders[n]
+        hi, lo = context.astype(np.uint64), word.astype(np.uint64)
+        out = np.full(len(hi), -1, np.int64)
+        if of.size:
+            for k, part in _by_bucket(of.bounds.bucket(hi, lo)):
+                if of.offset[k + 1] > of.offset[k]:
+                    words, *begin = self.file("next", n, k)
+                    a, b = _range(begin, hi[part])
+                    place = _search(words, a, b, lo[part])
+                    out[part] = np.where(place >= 0, of.offset[k] + place, -1)
+        return out
+
+    def counts(self, n: int, numbers: np.ndarray) -> np.ndarray:
+        """The (adjusted) counts of n-word sequences."""
+        of, out = self.orders[n], np.zeros(len(numbers), np.int64)
+        for k, part in _by_bucket(np.searchsorted(of.offset, numbers, "right") - 1):
+            out[part] = unpacked(*self.file("counts", n, k)[:3], numbers[part] - of.offset[k])
+        return out
+
+    def sums(self, n: int, contexts: np.ndarray) -> np.ndarray:
+        """(total, words that follow once, twice, oftener) of each context of order n."""
+        of = self.orders[n]
+        out = np.zeros((len(contexts), 4), np.int64)
+        if not of.size:
+            return out
+        hi = contexts.astype(np.uint64)
+        for k, part in _by_bucket(of.bounds.bucket(hi, np.zeros(len(hi), np.uint64))):
+            if k < 0 or of.offset[k + 1] == of.offset[k]:
                 continue
-            known, small, large_at, large, contexts, totals, once, twice, more = arrays(self.pairs[k])
-            part = keys[a:b]
-            place = np.minimum(np.searchsorted(known, part), len(known) - 1)
-            hit = known[place] == part
-            n = small[place].astype(np.int64)
-            big = np.flatnonzero(hit & (n == 0))
-            n[big] = large[np.searchsorted(large_at, place[big])]
-            count[a:b] = np.where(hit, n, 0)
-            of = part // np.uint64(self.distinct)
-            c = np.minimum(np.searchsorted(contexts, of), len(contexts) - 1)
-            there = contexts[c] == of
-            total[a:b] = np.where(there, totals[c], 0)
-            spare[a:b] = np.where(there, d1 * once[c] + d2 * twice[c] + d3 * more[c], 0)
-        if self.split:
-            of = (keys // np.uint64(self.distinct)).astype(np.int64)
-            ids = np.array(sorted(self.split))
-            place = np.minimum(np.searchsorted(ids, of), len(ids) - 1)
-            hit = ids[place] == of
-            values = np.array([self.split[i] for i in ids.tolist()], float)
-            total[hit] = values[place[hit], 0]
-            spare[hit] = values[place[hit], 1:] @ np.array([d1, d2, d3])
-        return count[back], total[back], spare[back]
+            begin = self.file("next", n, k)[1:]
+            small, large_at, large, many, kept = self.file("counts", n, k)
+            a, b = _range(begin, hi[part])
+            out[part] = _sums(unpacked(small, large_at, large, _spread(a, np.minimum(b, a + MANY))), np.minimum(b - a, MANY))
+            long = np.flatnonzero(b - a > MANY)
+            out[part[long]] = kept.reshape(-1, 4)[np.searchsorted(many, hi[part[long]])]
+        if of.split:
+            ids = np.array(sorted(of.split))
+            place = np.minimum(np.searchsorted(ids, contexts), len(ids) - 1)
+            hit = np.flatnonzero(ids[place] == contexts)
+            out[hit] = np.array([of.split[i] for i in ids.tolist()])[place[hit]]
+        return out
+
+    def numbers(self, hashes: np.ndarray, text: np.ndarray, upto: int) -> np.ndarray:
+        """The number of the `upto`-word sequence that ends at each token of training texts, or -1 if it would begin before its text."""
+        found, _ = self.words(hashes)
+        last = found
+        for n in range(2, upto + 1):
+            context = self.contexts(n, last, text)
+            some = np.flatnonzero(context >= 0)
+            last = np.full(len(found), -1, np.int64)
+            last[some] = self._found(n, context[some], found[some])
+        return last
+
+    def contexts(self, n: int, last: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Contexts of order n: what `last` has for the token before; the number after the last word's where a text begins, of order 2 only."""
+        out = np.concatenate([[-1], last[:-1]]) if len(last) else last.copy()
+        if len(out):
+            first = firsts(text)
+            out[first] = self.distinct if n == 2 else -1
+        return out
+
+    def _found(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """find() of each distinct pair once."""
+        hi, lo = context.astype(np.uint64), word.astype(np.uint64)
+        order = sorting(hi, lo)
+        first = firsts(hi[order], lo[order])
+        back = np.zeros(len(order), np.intp)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return self.find(n, context[order][first], word[order][first])[back]
+
+    def spelled(self, n: int, numbers: np.ndarray) -> np.ndarray:
+        """The words of the n-word sequences of these numbers, a row each; a text's begin is the number after the last word's."""
+        if n == 1:
+            return numbers[:, None]
+        of = self.orders[n]
+        word, context = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        for k, part in _by_bucket(np.searchsorted(of.offset, numbers, "right") - 1):
+            words, first, base, step = self.file("next", n, k)
+            place = numbers[part] - of.offset[k]
+            word[part] = words[place]
+            context[part] = first[0] + np.searchsorted(_starts(base, step), place, "right") - 1
+        return np.column_stack([self.spelled(n - 1, context), word])
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of lower-cased texts."""
         hashes, text = token_hashes(texts)
-        number, count = self.look_up(hashes)
-        known = number >= 0
-        n = len(texts)
+        word, count = self.words(hashes)
+        known = word >= 0
         base = np.log10((count + SMOOTH) / (self.tokens + SMOOTH * (self.distinct + 1)))
-        cont = np.zeros(len(hashes), np.int64)
-        cont[known] = self.continuation(number[known])
-        d = np.array([0.0, *self.discount_words])
-        p = self.spare / (self.distinct + 1)
-        if self.all_pairs:
-            p = p + np.maximum(cont - d[np.minimum(cont, 3)], 0) / self.all_pairs
-        else:
-            p = np.full(len(hashes), 1 / (self.distinct + 1))
-        first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
-        context = np.concatenate([[0], number[:-1]]) if len(number) else number
-        context = np.where(first, self.distinct, context)
-        ask = np.flatnonzero((context >= 0) & (self.tokens > 0))
-        c, total, spare = self.look_up_pairs(context[ask], np.where(known, number, 0)[ask])
-        c = np.where(known[ask], c, 0)
-        d = np.array([0.0, *self.discount_pairs])
-        some = total > 0
-        safe = np.where(some, total, 1)
-        p[ask] = np.where(some, np.maximum(c - d[np.minimum(c, 3)], 0) / safe + spare / safe * p[ask], p[ask])
-        sums = lambda x: np.bincount(text, x, n)
-        return np.bincount(text, minlength=n), sums(known).astype(np.int64), sums(base), sums(np.log10(p))
+        p = np.full(len(hashes), 1 / (self.distinct + 1))
+        if self.pairs:
+            before = np.zeros(len(hashes), np.int64)
+            before[known] = self.before(word[known])
+            d = np.array([0.0, *self.word_discount])
+            p = self.spare * p + np.maximum(before - d[np.minimum(before, 3)], 0) / self.pairs
+        last = word
+        for n in range(2, self.order + 1):
+            if not self.tokens:
+                break
+            context = self.contexts(n, last, text)
+            last = np.full(len(hashes), -1, np.int64)
+            ask = np.flatnonzero(context >= 0)
+            both = ask[known[ask]]
+            last[both] = self._found(n, context[both], word[both])
+            hit = np.flatnonzero(last >= 0)
+            c = np.zeros(len(hashes), np.int64)
+            numbers, back = np.unique(last[hit], return_inverse=True)
+            c[hit] = self.counts(n, numbers)[back]
+            contexts, back = np.unique(context[ask], return_inverse=True)
+            total, *follow = self.sums(n, contexts)[back].T.astype(float)
+            d = np.array([0.0, *self.orders[n].discount])
+            spare = d[1] * follow[0] + d[2] * follow[1] + d[3] * follow[2]
+            some, c = total > 0, c[ask]
+            safe = np.where(some, total, 1)
+            p[ask] = np.where(some, np.maximum(c - d[np.minimum(c, 3)], 0) / safe + spare / safe * p[ask], p[ask])
+        size = len(texts)
+        sums = lambda x: np.bincount(text, x, size)
+        return np.bincount(text, minlength=size), sums(known).astype(np.int64), sums(base), sums(np.log10(p))
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of the buckets that occur."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.append(firsts(bucket[order]), len(order))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _steps(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending starts as (base of every 256, steps from it)."""
+    base = starts[::256]
+    step = starts - np.repeat(base, 256)[: len(starts)]
+    return base, step.astype(np.uint16 if not len(step) or step.max() < 1 << 16 else np.uint64)
+
+
+def _starts(base: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return np.repeat(base, 256)[: len(step)] + step
+
+
+def _range(begin: list[np.ndarray], contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words after each context begin and end; an empty range for other contexts."""
+    first, base, step = begin
+    rel = contexts.astype(np.int64) - first[0]
+    there = (rel >= 0) & (rel < len(step) - 1)
+    rel = np.where(there, rel, 0)
+    a, b = (base[r >> 8].astype(np.int64) + step[r] for r in (rel, rel + 1))
+    return a, np.where(there, b, a)
+
+
+def _search(words: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of each word in its ascending range of words, or -1."""
+    a, b, end = a.copy(), b.copy(), b
+    todo = np.flatnonzero(a < b)
+    while len(todo):
+        mid = (a[todo] + b[todo]) >> 1
+        low = words[mid] < word[todo]
+        a[todo[low]] = mid[low] + 1
+        b[todo[~low]] = mid[~low]
+        todo = todo[a[todo] < b[todo]]
+    hit = a < end
+    hit[hit] = words[a[hit]] == word[hit]
+    return np.where(hit, a, -1)
+
+
+def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All places of some ranges, one range after the other."""
+    n = b - a
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _sums(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(total, ones, twos, more) of n[i] counts each, one after the other."""
+    out = np.zeros((len(n), 4), np.int64)
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        at = (np.cumsum(n) - n)[some]
+        for k, x in enumerate((counts, counts == 1, counts == 2, counts > 2)):
+            out[some, k] = np.add.reduceat(x.astype(np.int64), at)
+    return out
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,104 +481,175 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(float(np.clip(k - (k + 1) * y * ratio(b, a), 0.1 * k, 0.95 * k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def _pair_bounds(points: np.ndarray, distinct: int, buckets: int) -> np.ndarray:
-    """Least pairs of the buckets: like shares of tokens by context, and of a common context's by word."""
-    if not len(points):
-        return np.zeros(1, np.uint64)
-    out = [0]
-    for j in range(1, buckets):
-        at = j * len(points) // buckets
-        v = int(points[at])
-        a, b = np.searchsorted(points, v), np.searchsorted(points, v, "right")
-        w = int(points[(at - a) * len(points) // (b - a)]) if b - a > 1 else 0
-        out.append(max(out[-1], v * distinct + w))
-    return np.unique(np.array(out, np.uint64))
+def _times(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _cuts(counts: np.ndarray, step: int) -> np.ndarray:
+    """Where a running total of counts passes each multiple of step, and the share of that count which lies before."""
+    total = np.cumsum(counts)
+    at = np.arange(step, total[-1] if len(total) else 0, step)
+    place = np.searchsorted(total, at)
+    return np.column_stack([place, (at - (total[place] - counts[place])) * 1_000_000 // np.maximum(counts[place], 1)])
+
 
+def _next_bounds(cuts: list[tuple[int, int]], words: int) -> Bounds:
+    """Buckets of the next order: contexts' shares of a million become shares of the words' numbers, spread evenly by their hashes."""
+    pairs = sorted({(0, 0), *((c, share * words // 1_000_000 if share else 0) for c, share in cuts)})
+    return Bounds(*(np.array(x, np.uint64) for x in zip(*pairs, strict=True)))
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """A model of all texts of docs; without texts, one that knows no word."""
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """A model of all texts of docs, of sequences of up to `order` (2 at least) words; without texts, one that knows no word."""
     spark, rows = docs.sparkSession, docs.select(whole(text_col).alias("text"))
     folder = shared_dir(spark, "model")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    store = Arrays(folder)
-    buckets = max(LEAST_BUCKETS, 1 << (input_bytes(docs) // BUCKET_BYTES).bit_length())
-    word_bounds = (np.arange(buckets, dtype=np.uint64) << np.uint64(64 - (buckets - 1).bit_length())) if buckets > 1 else np.zeros(1, np.uint64)
-
-    def words_of(bucket: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        total = int(counts.sum())
-        points = np.searchsorted(np.cumsum(counts), (np.arange(POINTS) + 0.5) * total / POINTS)
-        return [(bucket, store.write(keys, counts), len(keys), total, points.tolist())]
-
-    found = _reduced(_counted(rows, lambda texts, counter: counter.add(token_hashes(texts)[0]), word_bounds), buckets, words_of, "bucket int, file string, n long, total long, points array<long>").orderBy("bucket").collect()  # a row per bucket
-    sizes, words = np.zeros(buckets, np.int64), [""] * buckets
-    for r in found:
-        sizes[r["bucket"]], words[r["bucket"]] = r["n"], r["file"]
-    offset = np.cumsum(sizes) - sizes
-    tokens, distinct = sum(r["total"] for r in found), int(sizes.sum())
-    model = Model(words, word_bounds, offset, tokens, distinct, {}, {}, np.zeros(1, np.uint64), 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0, {})
-    if not tokens:
+    size = input_bytes(docs)
+    bucket_bytes = min(MOST_BYTES, max(LEAST_BYTES, size >> 10))
+    buckets, step = max(LEAST_BUCKETS, 1 << (size // bucket_bytes).bit_length()), bucket_bytes // 4
+    word_bounds = np.arange(buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
+
+    def words_of(bucket: int, hashes: np.ndarray, _: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        store(f"{folder}/words-1-{bucket}", hashes, *packed(counts))
+        yield bucket, None, None, None, [len(hashes), int(counts.sum()), *_cuts(counts, step).ravel().tolist()]
+
+    def words_in(texts: list[bytes], counter: Counter) -> bool:
+        hashes, _ = token_hashes(texts)
+        return counter.add(hashes, np.zeros(len(hashes), np.uint64))
+
+    about = _about(_reduced(_counted(rows, words_in, Bounds(word_bounds, np.zeros(buckets, np.uint64))), buckets, words_of, "words"))
+    sizes = np.zeros(buckets, np.int64)
+    for k, found in about:
+        sizes[k] = found[0]
+    offset = np.concatenate([[0], np.cumsum(sizes)])
+    model = Model(folder, order, word_bounds, offset, sum(x[1] for _, x in about), int(offset[-1]))
+    if not model.tokens:
         return model
-    if (distinct + 1) ** 2 >= 1 << 64:
-        raise OverflowError("over 2**32 distinct words: pairs need longer keys")
-    # quantiles of tokens by their words' numbers: a bucket's points weigh as its tokens
-    share = np.array([r["total"] for r in found], float) / POINTS
-    at = np.concatenate([np.array(r["points"]) + offset[r["bucket"]] for r in found])
-    weight = np.cumsum(np.repeat(share, POINTS))
-    even = np.searchsorted(weight, (np.arange(POINTS * buckets) + 0.5) * weight[-1] / (POINTS * buckets))
-    model.pair_bounds = bounds = _pair_bounds(at[even], distinct, buckets)
-    shared = spark.sparkContext.broadcast(model)
-
-    def pairs_in(texts: list[bytes], counter: Counter) -> bool:
+    starts = [(int(offset[k]), 0) for k, _ in about]
+    cuts = starts + [(int(offset[k]) + c, share) for k, x in about for c, share in zip(x[2::2], x[3::2], strict=True)]
+    for n in range(2, order + 1):
+        cuts = _add_order(rows, model, n, _next_bounds([*cuts, (model.distinct, 0)] if n == 2 else cuts, model.distinct), step)
+    return model
+
+
+def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int) -> list[tuple[int, int]]:
+    """Counts the sequences of n words, and from them what the order before needs; gives the cuts for the next order's buckets."""
+    folder, last = model.folder, n == model.order
+    opening = model.distinct if n == 2 else model.orders[n - 1].opening
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    word_type = np.uint32 if model.distinct < 1 << 32 else np.uint64
+
+    def sequences_in(texts: list[bytes], counter: Counter) -> bool:
         own = shared.value
         hashes, text = token_hashes(texts)
-        number, _ = own.look_up(hashes)
-        context = np.concatenate([[own.distinct], number[:-1]])
-        context[1:][text[1:] != text[:-1]] = own.distinct
-        return counter.add(context.astype(np.uint64) * np.uint64(own.distinct) + number.astype(np.uint64))
-
-    def pairs_of(bucket: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        large_at = np.flatnonzero(counts > 255)
-        small = np.where(counts > 255, 0, counts).astype(np.uint8)
-        context = keys // np.uint64(distinct)
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        per = lambda x: np.add.reduceat(x, first)
-        totals, once, twice, more = per(counts), *(per(x.astype(np.uint32)) for x in (counts == 1, counts == 2, counts > 2))
-        ends = [[int(context[first[k]]), int(totals[k]), int(once[k]), int(twice[k]), int(more[k])] for k in sorted({0, len(first) - 1})]
-        file = store.write(keys, small, large_at, counts[large_at], context[first], totals.astype(np.uint32 if totals.max() < 1 << 32 else np.uint64), once, twice, more)
-        word, n = np.unique(keys % np.uint64(distinct), return_counts=True)
-        cut = np.append(np.searchsorted(word, offset), len(word))
-        parts = [(int(k), planes(word[a:b]), n[a:b].astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        about = [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), *sum(ends, [])]
-        return [(bucket, None, None, file, about), *((k, w, c, None, None) for k, w, c in parts)]
-
-    made = _reduced(_counted(rows, pairs_in, bounds), len(bounds), pairs_of, "bucket int, keys binary, counts binary, file string, about array<long>")
+        word, _ = own.words(hashes)
+        context = own.contexts(n, own.numbers(hashes, text, n - 1), text)
+        some = np.flatnonzero(context >= 0)
+        return counter.add(context[some].astype(np.uint64), word[some].astype(np.uint64))
+
+    def sequences_of(bucket: int, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        own = shared.value
+        first = int(hi[0])
+        begin = np.searchsorted(hi, np.arange(first, int(hi[-1]) + 2, dtype=np.uint64))
+        store(f"{folder}/next-{n}-{bucket}", lo.astype(word_type), np.array([first]), *_steps(begin))
+        opened = counts[hi >= opening]
+        if last:
+            done = _keep_counts(folder, n, bucket, counts, first, begin)
+        else:  # the others get the number of words before them
+            store(f"{folder}/raw-{n}-{bucket}", *packed(opened))
+            done = []
+        yield bucket, None, None, None, [len(hi), len(opened), len(done), *done, *_cuts(counts, step).ravel().tolist()]
+        if n == 2:
+            suffix = lo
+        else:
+            words = own.spelled(n - 1, hi.astype(np.int64))[:, 1:]
+            context = words[:, 0]
+            for k in range(2, n - 1):
+                context = own._found(k, context, words[:, k - 1])
+            suffix = own._found(n - 1, context, lo.astype(np.int64)).astype(np.uint64)
+        keys, times = np.unique(suffix, return_counts=True)
+        before = own.word_offset if n == 2 else own.orders[n - 1].offset
+        for part in dealt(keys, np.zeros(len(keys), np.uint64), times, Bounds(before[:-1].astype(np.uint64), np.zeros(len(before) - 1, np.uint64))):
+            for k in range(part.num_rows):
+                yield *(part[c][k].as_py() for c in ("bucket", "hi", "lo", "counts")), None
+
+    buckets = len(bounds.hi)
+    made = _reduced(_counted(rows, sequences_in, bounds), buckets, sequences_of, "sequences")
+    sizes, opened, cuts = np.zeros(buckets, np.int64), 0, []
+    about = _about(made)
+    for k, x in about:
+        sizes[k], opened = x[0], opened + x[1]
+    offset = np.concatenate([[0], np.cumsum(sizes)])
+    for k, x in about:
+        x = x[3 + x[2] :]
+        cuts += [(int(offset[k]), 0), *((int(offset[k]) + c, share) for c, share in zip(x[::2], x[1::2], strict=True))]
+    model.orders[n] = Order(bounds, offset, int(offset[-1]), int(offset[-1]) - opened)
+    if n == 2:
+        model.pairs = model.orders[2].size
+        _words_before(made, model)
+    else:
+        _settle(model.orders[n - 1], _adjusted(made, model, n - 1))
+    if last:
+        _settle(model.orders[n], [x[3 : 3 + x[2]] for _, x in about])
+    discard(made)
+    return cuts
+
+
+def _words_before(made: DataFrame, model: Model) -> None:
+    offset, folder = model.word_offset, model.folder
+
+    def words_of(bucket: int, hi: np.ndarray, _: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        dense = np.zeros(int(offset[bucket + 1] - offset[bucket]), np.int64)
+        dense[hi.astype(np.int64) - offset[bucket]] = counts
+        store(f"{folder}/before-1-{bucket}", *packed(dense))
+        yield bucket, None, None, None, _times(dense)
+
+    found = _about(_reduced(made.where("hi is not null").drop("about"), len(offset) - 1, words_of, "before"))
+    ones = [sum(x[k] for _, x in found) for k in range(4)]
+    model.word_discount = d = discounts(ones)
+    model.spare = (d[0] * ones[0] + d[1] * ones[1] + d[2] * (model.distinct - ones[0] - ones[1])) / model.pairs
+
+
+def _keep_counts(folder: str, n: int, bucket: int, counts: np.ndarray, first: int, starts: np.ndarray) -> list[int]:
+    """Writes a bucket's counts and the sums of its contexts with many words; gives how many counts are 1 to 4, and the outer contexts with their sums."""
+    follow = np.diff(starts)
+    sums = _sums(counts, follow)
+    many = np.flatnonzero(follow > MANY)
+    store(f"{folder}/counts-{n}-{bucket}", *packed(counts), (first + many).astype(np.uint64), sums[many].ravel())
+    return [*_times(counts), *(x for k in sorted({0, len(follow) - 1}) for x in (first + k, *sums[k].tolist()))]
+
+
+def _adjusted(made: DataFrame, model: Model, n: int) -> list[list[int]]:
+    """Gives the sequences of order n the numbers of words that precede them, which made has; what _keep_counts() gave."""
+    of, folder = model.orders[n], model.folder
+    offset = of.offset
+
+    def counts_of(bucket: int, hi: np.ndarray, _: np.ndarray, times: np.ndarray) -> Iterator[tuple]:
+        counts = np.zeros(int(offset[bucket + 1] - offset[bucket]), np.int64)
+        if len(counts):
+            counts[hi.astype(np.int64) - offset[bucket]] = times
+            raw = arrays(f"{folder}/raw-{n}-{bucket}")
+            opened = unpacked(*raw, np.arange(len(raw[0])))
+            counts[len(counts) - len(opened) :] = opened  # they come last
+            _, first, *begin = arrays(f"{folder}/next-{n}-{bucket}")
+            yield bucket, None, None, None, _keep_counts(folder, n, bucket, counts, int(first[0]), _starts(*begin).astype(np.int64))
+
+    # a bucket whose sequences all begin a text has no other rows
+    every = made.sparkSession.range(len(of.bounds.hi)).select(F.col("id").cast("int").alias("bucket"), *(F.lit(b"").alias(c) for c in ("hi", "lo", "counts")))
+    rows = every.unionByName(made.where("hi is not null").drop("about"))
+    return [x for _, x in _about(_reduced(rows, len(of.bounds.hi), counts_of, "counts"))]
+
+
+def _settle(of: Order, done: list[list[int]]) -> None:
+    """Discounts, and the sums of contexts whose words are in several buckets: those with a bound among them."""
     seen: dict[int, list[list[int]]] = {}
-    ones = np.zeros(4, np.int64)
-    for r in made.where("file is not null").select("bucket", "file", "about").collect():  # a row per bucket
-        model.pairs[r["bucket"]] = r["file"]
-        model.all_pairs += r["about"][0]
-        ones += r["about"][1:5]
-        ends = r["about"][5:]
-        for k in range(0, len(ends), 5):
-            seen.setdefault(ends[k], []).append(ends[k + 1 : k + 5])
-    cut = {int(b) // distinct for b in bounds}  # contexts with a bound among their pairs
-    model.split = {v: tuple(map(sum, zip(*parts, strict=True))) for v, parts in seen.items() if len(parts) > 1 or v in cut}
-    model.discount_pairs = discounts(ones.tolist())
-
-    def continuations_of(bucket: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
-        dense = np.zeros(int(sizes[bucket]), np.int64)
-        dense[keys.astype(np.int64) - offset[bucket]] = counts
-        top = dense.astype(np.uint32) if dense.max() < 1 << 32 else dense
-        return [(bucket, store.write(top), [int((dense == k).sum()) for k in (1, 2, 3, 4)])]
-
-    ones = np.zeros(4, np.int64)
-    for r in _reduced(made.where("file is null").select("bucket", "keys", "counts"), buckets, continuations_of, "bucket int, file string, ones array<long>").collect():  # a row per bucket
-        model.continuations[r["bucket"]] = r["file"]
-        ones += r["ones"]
-    model.discount_words = d = discounts(ones.tolist())
-    model.spare = (d[0] * ones[0] + d[1] * ones[1] + d[2] * (distinct - ones[0] - ones[1])) / model.all_pairs
-    return model
+    for x in done:
+        for k in range(4, len(x), 5):
+            seen.setdefault(x[k], []).append(x[k + 1 : k + 5])
+    cut = {int(c) for c in of.bounds.hi}
+    of.discount = discounts([sum(x[k] for x in done) for k in range(4)])
+    of.split = {c: [sum(x) for x in zip(*parts, strict=True)] for c, parts in seen.items() if len(parts) > 1 or c in cut}
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,7 +667,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 
 
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row per row of docs.
 
     The model learns from the rows that aren't held out. Tokens are lower-cased (A-Z) words between ASCII white
@@ -419,6 +675,6 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id is never held out. An empty table gives an empty result; if all rows are held out, every word is
     unknown. Other columns aren't read.
     """
-    model = train(docs.where(~held_out(id_col)), text_col)
+    model = train(docs.where(~held_out(id_col)), text_col, order)
     found = scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -104,29 +104,33 @@ def discounts(n1, n2, n3, n4):
     return out
 
 
-def kneser_ney(docs):
+def kneser_ney(docs, order=3):
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]
     train = [tokens(t) for d, t in docs if d is None or zlib.crc32(str(d).encode()) % 10]
     count = collections.Counter(w for t in train for w in t)
     total, distinct = sum(count.values()), len(count)
-    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
-    follows = collections.Counter(w for _, w in pairs)
+    raw = {n: collections.Counter(tuple(["<s>", *t][k : k + n]) for t in train for k in range(len(t) + 2 - n)) for n in range(2, order + 1)}
+    adjusted = {order: raw.get(order, {})}
+    for n in range(order - 1, 0, -1):
+        adjusted[n] = collections.Counter(g[1:] for g in raw[n + 1])
+        adjusted[n].update({g: c for g, c in raw.get(n, {}).items() if g[0] == "<s>"})
     ones = lambda c: [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
-    dp, dw = discounts(*ones(pairs)), discounts(*ones(follows))
-    context, spare = collections.Counter(), collections.Counter()
-    for (v, _), n in pairs.items():
-        context[v] += n
-        spare[v] += dp[min(n, 3) - 1]
-    rest = sum(dw[min(n, 3) - 1] for n in follows.values()) / len(pairs) if pairs else 1
+    discount = {n: discounts(*ones(c)) for n, c in adjusted.items()}
+    sums, spare = collections.Counter(), collections.Counter()
+    for n, grams in adjusted.items():
+        for g, c in grams.items():
+            sums[g[:-1]] += c
+            spare[g[:-1]] += discount[n][min(c, 3) - 1]
     for doc_id, text in docs:
         t = tokens(text)
         base = score = 0.0
-        for v, w in zip(["<s>", *t[:-1]], t, strict=True):
+        for k, w in enumerate(t):
             base += math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1)))
-            n = follows[w]
-            p = (max(n - dw[min(n, 3) - 1], 0) / len(pairs) if n else 0) + rest / (distinct + 1)
-            if context[v]:
-                n = pairs[v, w]
-                p = (max(n - dp[min(n, 3) - 1], 0) if n else 0) / context[v] + spare[v] / context[v] * p
+            p = 1 / (distinct + 1)
+            for n in range(1, order + 1):
+                context = tuple(["<s>", *t][k + 2 - n : k + 1]) if k + 2 - n >= 0 else None
+                if context is not None and sums[context]:
+                    c = adjusted[n][*context, w]
+                    p = (max(c - discount[n][min(c, 3) - 1], 0) if c else 0) / sums[context] + spare[context] / sums[context] * p
             score += math.log10(p)
         yield doc_id, len(t), sum(count[w] > 0 for w in t), total, base, score

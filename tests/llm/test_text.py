@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tatterloom.llm import bpe_automaton, decontaminate, html_text, kneser_ney, quality, token_stream, warc
+from tatterloom.llm import bpe_automaton, decontaminate, html_text, kneser_ney, quality, substring_dedup, token_stream, warc
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "EEEEEEE!!!!!!!........", "a<|endoftext|> b<|endoftext|>", " x\n\n  y\t z  ", "don't WE'LL 's", "日本語 😀 \x1c \x85 ﬁ Σας ½ ٣", "é ́e"]
@@ -103,20 +103,44 @@ def test_decontamination_of_dense_repeats(spark, letters):
     assert sorted(found) == sorted(brute.contamination(docs, items))
 
 
-def test_kneser_ney(docs, rows, empty):
-    found = {(r.doc_id, r.n_tokens, r.n_known): r for r in kneser_ney.language_scores(docs).collect()}
-    for doc_id, n, known, total, base, score in brute.kneser_ney(rows):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(docs, rows, empty, order):
+    found = {(r.doc_id, r.n_tokens, r.n_known): r for r in kneser_ney.language_scores(docs, order=order).collect()}
+    for doc_id, n, known, total, base, score in brute.kneser_ney(rows, order):
         r = found[doc_id, n, known]
         assert r.train_tokens == total and r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
-    assert kneser_ney.language_scores(empty).count() == 0
+    assert kneser_ney.language_scores(empty, order=order).count() == 0
 
 
-def test_kneser_ney_in_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "LEAST_BUCKETS", 64)
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_in_many_buckets(spark, monkeypatch, order):
+    for name, value in (("LEAST_BUCKETS", 8), ("LEAST_BYTES", 400), ("MOST_BYTES", 400), ("MANY", 3), ("input_bytes", lambda _: 3_000)):
+        monkeypatch.setattr(kneser_ney, name, value)
     rng = random.Random(1)
     rows = [(k, " ".join("hot" if rng.random() < 0.4 else f"w{rng.randint(0, 30)}" for _ in range(40))) for k in range(60)]
-    found = {r.doc_id: r.score for r in kneser_ney.language_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(found[d] == pytest.approx(score) for d, *_, score in brute.kneser_ney(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = kneser_ney.train(docs, order=order)
+    assert any(len(of.split) > 1 and len(set(of.bounds.hi.tolist())) < len(of.bounds.hi) for of in model.orders.values())
+    found = {r.doc_id: r.score for r in kneser_ney.language_scores(docs, order=order).collect()}
+    assert all(found[d] == pytest.approx(score) for d, *_, score in brute.kneser_ney(rows, order))
+
+
+def colliding_words():
+    """Two words that every polynomial modulo 2**64 takes for one: the Thue-Morse string and its complement."""
+    word = b"a"
+    for _ in range(10):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    return word.decode(), word.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    a, b = colliding_words()
+    rows = [(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} {a}"), (4, "y")]
+    found = {r.doc_id: r for r in kneser_ney.language_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[d].base_score == pytest.approx(base) and found[d].score == pytest.approx(score) for d, *_, base, score in brute.kneser_ney(rows))
+    rest = " ".join(f"w{k}" for k in range(34))
+    found = substring_dedup.without_repeats(spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string"))
+    assert [r.n_removed for r in found.collect()] == [0, 0]
 
 
 def test_kneser_ney_all_held_out(spark):

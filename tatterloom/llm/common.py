@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A table of at most so many narrow rows (two longs) may be broadcast: 64 MB at most as a hash table.
 BROADCAST_ROWS = 500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many hot groups are broadcast.
 HOT = 100_000
 #: A bitmap holds so many rows of a file (the size of bitmap_construct_agg's), and a broadcast so many bitmaps: 32 MB.
@@ -56,7 +57,12 @@ def filesystem(uri: str):
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts its lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for this table isn't read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_path = path
     return found

@@ -149,8 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         maybe = F.broadcast(maybe)
     else:  # texts without a candidate don't shuffle
         again = by_bitmaps(again, maybe.select("file", "row"), True)
-    spans = again.join(maybe, ["file", "row"]).select("file", "row", words_of(F.col("text")).alias("w"), F.explode("spans").alias("s"))
-    lines = spans.select("file", "row", "s.*", _line(F.col("w"), F.col("s.start"), F.col("s.length")).alias("line"))
+    texts = again.join(maybe, ["file", "row"]).select("file", "row", "spans", words_of(F.col("text")).alias("w"))
+    of_span = lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), _line(F.col("w"), s["start"], s["length"]).alias("line"))
+    lines = texts.select("file", "row", F.explode(F.transform("spans", of_span)).alias("s")).select("file", "row", "s.*")
     found = written(lines.join(bounded(windows, MOST_KEYS), "line").select("file", "row", "start", "length", "class"), "hits")
     hit = found.groupBy("file", "row").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))))).alias("n_hit"))
     of = found.select("file", "row", "class").distinct().join(bounded(items, MOST_KEYS), "class").where("item is not null")

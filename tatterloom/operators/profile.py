@@ -24,20 +24,31 @@ def prepared(cells: DataFrame) -> DataFrame:
     return found.withColumns({"_number": F.when(kind.isin("integer", "float"), to_number(F.col("_cell"))), "_date": F.when(kind == "date", to_iso_date(F.col("_cell")))})
 
 
-def measures(exact: bool = False) -> list[Column]:
-    """The aggregates over prepared() cells; partial aggregation leaves a row per column and task to shuffle."""
+def measures(exact: bool = False, times: Column | None = None) -> list[Column]:
+    """The aggregates over prepared() cells, each of which stands for `times` equal ones; partial aggregation leaves a row per column and task to shuffle."""
     kind = F.col("_kind")
     some = F.when(kind != "empty", F.col("_cell"))
+    if times is None:
+        count = lambda cond: F.count_if(cond)
+    else:
+        count = lambda cond: F.coalesce(F.sum(F.when(cond, times)), F.lit(0)).cast("long")
     return [
-        *[F.count_if(kind == k).alias(f"n_{k}") for k in ("integer", "float", "text", "date")], F.count_if(kind == "empty").alias("n_null"),
-        F.count(F.lit(1)).alias("total_values"), (F.count_distinct(some) if exact else F.approx_count_distinct(some, DISTINCT_ERROR)).alias("unique_estimate"),
+        *[count(kind == k).alias(f"n_{k}") for k in ("integer", "float", "text", "date")], count(kind == "empty").alias("n_null"),
+        count(F.lit(True)).alias("total_values"), (F.count_distinct(some) if exact else F.approx_count_distinct(some, DISTINCT_ERROR)).alias("unique_estimate"),
         F.min("_number").alias("numeric_min"), F.max("_number").alias("numeric_max"), F.min("_date").alias("date_min"), F.max("_date").alias("date_max"),
     ]
 
 
 def profile_cells(cells: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
-    """Profiles of cells (…keys, value)."""
-    return prepared(cells).groupBy(*keys).agg(*measures(exact))
+    """Profiles of cells (…keys, value).
+
+    Exact distinct counts need a shuffle of distinct values anyway, so equal values are counted first and each distinct
+    one is classified once. Estimates need none, and a column of distinct values would gain nothing by it.
+    """
+    if not exact:
+        return prepared(cells).groupBy(*keys).agg(*measures())
+    once = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_times"))
+    return prepared(once).groupBy(*keys).agg(*measures(True, F.col("_times")))
 
 
 def profile_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:

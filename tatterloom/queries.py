@@ -466,14 +466,21 @@ def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.withColumn("data_type", S.inferred_type(F.col("maybe_numeric"), F.col("maybe_date"), F.col("maybe_bool"), F.lit(True)))
 
 
+_KIND_OF = "CASE WHEN maybe_bool THEN 'bool' WHEN maybe_numeric AND NOT maybe_date THEN 'decimal' WHEN maybe_date AND NOT maybe_numeric THEN 'date' ELSE 'string' END"
+
+
 @query(
-    f"SELECT file_id, idx::INT AS idx, count(*) AS sample_count, {', '.join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in _BUCKETS)}, array_to_string(list_slice(list(DISTINCT v ORDER BY v) FILTER (v <> ''), 1, 1), '|') AS least FROM "
-    f"(SELECT *, {_kind('v')} AS kind FROM (SELECT file_id, generate_subscripts(cells, 1) - 1 AS idx, unnest(cells) AS v FROM ({CELLS}) WHERE line_no < 100)) GROUP BY file_id, idx"
+    _PLAN + f""", own AS (SELECT file_id, block_id, end_line, greatest(start_line, coalesce(max(end_line) OVER (PARTITION BY file_id ORDER BY start_line, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0)) AS own_start FROM plan),
+s AS (SELECT c.file_id, block_id, line_no - own_start AS ord, cells FROM ({CELLS}) AS c JOIN own ON own.file_id = c.file_id AND line_no BETWEEN own_start AND least(end_line, own_start + {sampling.SIGNATURE_LINES - 1})),
+p AS (SELECT file_id, block_id, ord, generate_subscripts(cells, 1) - 1 AS idx, trim(unnest(cells)) AS v FROM s),
+d AS (SELECT file_id, block_id, idx, string_agg(v, '|' ORDER BY o) AS samples FROM (SELECT file_id, block_id, idx, v, min(ord) AS o FROM p WHERE v <> '' GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT file_id, block_id, idx, count(*) AS sample_count, {', '.join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in _BUCKETS)}, {_FLAGS.removeprefix("SELECT header, ")} FROM (SELECT *, {_kind('v')} AS kind FROM p) GROUP BY file_id, block_id, idx)
+SELECT t.* REPLACE (t.idx::INT AS idx), {_KIND_OF} AS data_type, coalesce(samples, '') AS samples FROM t LEFT JOIN d USING (file_id, block_id, idx)"""
 )
 def signature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = _lines(spark, sf_dir).where("line_no < 100").select("file_id", F.lit(0).alias("block_id"), "line_no", "raw", F.col("line_no").alias("ord"))
-    _, columns = sampling.signatures(sample, 100)
-    return columns.select("file_id", "idx", "sample_count", *[f"n_{b}" for b in _BUCKETS], F.coalesce(F.array_min("samples"), F.lit("")).alias("least"))
+    """The signatures of every planned block, from the lines that are its own."""
+    _, columns = sampling.signatures(sampling.sampled_lines(_lines(spark, sf_dir), _plan(spark, sf_dir)), sampling.SIGNATURE_LINES)
+    return columns.withColumn("samples", F.coalesce(F.array_join("samples", "|"), F.lit("")))
 
 
 @query(
@@ -538,6 +545,6 @@ def schema_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemas of the ragged orders' lines taken as headers: those of one width whose texts are alike."""
     from tatterloom.operators.schemas import Synonyms, cluster_blocks
 
-    found = _cells(spark, sf_dir).select(F.col("line_no").alias("ord"), F.lit(",").alias("delimiter"), F.size("cells").alias("column_count"), F.col("raw").alias("header_sample"), "file_id").where("file_id = 0 and raw <> ''")
-    heads = found.withColumn("header_sample", F.regexp_replace("header_sample", r"\d+", "id"))
-    return cluster_blocks(heads.drop("file_id"), Synonyms.of({})).groupBy("schema_ord").agg(F.count(F.lit(1)).alias("blocks"))
+    lines = _t(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS ord", f"{LINE} AS raw").where("raw <> ''")
+    found = lines.select("ord", F.lit(",").alias("delimiter"), F.size(S.split_line(F.col("raw"), ",")).alias("column_count"), F.regexp_replace("raw", r"\d+", "id").alias("header_sample"))
+    return cluster_blocks(found, Synonyms.of({})).groupBy("schema_ord").agg(F.count(F.lit(1)).alias("blocks"))

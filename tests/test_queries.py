@@ -1,5 +1,8 @@
+import collections
+import re
 import subprocess
 import sys
+from difflib import SequenceMatcher
 from pathlib import Path
 
 import oracle
@@ -7,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tatterloom import queries
+from tatterloom.operators import schemas
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -26,6 +30,22 @@ def test_clusters_of_known_names(spark):
     assert all(r.needs_review for names, r in found.items() if len(names) == 1)
 
 
+def test_schemas_are_the_first_fits(spark):
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    orders = spark.read.parquet(f"{oracle.SF}/orders.parquet").selectExpr("o_orderkey AS ord", f"{queries.LINE} AS raw").orderBy("ord").collect()
+    first, size = {}, collections.Counter()
+    for ord_, raw in orders:
+        if raw:
+            names = [re.sub("[^a-z0-9_]", "", re.sub(r"\d+", "id", c).strip().lower().replace(" ", "_")) or "column" for c in raw.split(",")]
+            founders = first.setdefault(len(names), [])
+            fit = next((o for h, o in founders if ratio(h, "|".join(names)) >= schemas.HEADER_ALIKE), None)
+            if fit is None:
+                founders.append(("|".join(names), ord_))
+            size[ord_ if fit is None else fit] += 1
+    found = {r.schema_ord: r.blocks for r in queries.schema_cluster(spark, oracle.SF).collect()}
+    assert found == size
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -416,7 +416,7 @@ def _steps(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending starts as (base of every 256, steps from it)."""
     base = starts[::256]
     step = starts - np.repeat(base, 256)[: len(starts)]
-    return base, step.astype(np.uint16 if not len(step) or step.max() < 1 << 16 else np.uint64)
+    return base, step.astype(np.uint16 if not len(step) or step.max() < 1 << 16 else np.int64)
 
 
 def _starts(base: np.ndarray, step: np.ndarray) -> np.ndarray:

@@ -20,7 +20,8 @@ def compacted(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("lo")
     parts = bounds.withColumn("hi", F.lead("lo").over(order) - 1).where("hi is not null")
     owner = F.min_by(F.struct("schema_id", "block_id"), F.struct("schema_ord", "start_line", "block_id")).alias("o")
-    owned = parts.join(blocks, "file_id").where("start_line <= lo and hi <= end_line").groupBy("file_id", "lo", "hi").agg(owner)
+    placed = parts.withColumn("_range", F.shiftright("lo", _RANGE))  # a block that covers an interval has a range with its first line
+    owned = placed.join(_ranged(blocks), ["file_id", "_range"]).where("start_line <= lo and hi <= end_line").groupBy("file_id", "lo", "hi").agg(owner)
     owned = owned.select("file_id", "lo", "hi", "o.*")
     before = F.lag(F.struct("schema_id", "block_id", "hi")).over(order)
     new = F.when((before["schema_id"] == F.col("schema_id")) & (before["block_id"] == F.col("block_id")) & (before["hi"] + 1 == F.col("lo")), 0).otherwise(1)
@@ -28,15 +29,23 @@ def compacted(blocks: DataFrame) -> DataFrame:
     return runs.groupBy("file_id", "run", "schema_id", "block_id").agg(F.min("lo").alias("start_line"), F.max("hi").alias("end_line")).drop("run")
 
 
+def _ranged(intervals: DataFrame) -> DataFrame:
+    """Intervals, once per range of lines that they have a line in."""
+    return intervals.withColumn("_range", F.explode(F.sequence(F.shiftright("start_line", _RANGE), F.shiftright("end_line", _RANGE))))
+
+
+def covered_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """lines (file_id, line_no, …) with each block that covers them; a line meets only the blocks of its range."""
+    placed = lines.withColumn("_range", F.shiftright("line_no", _RANGE))
+    return placed.join(small(durable(_ranged(blocks))), ["file_id", "_range"]).where("line_no between start_line and end_line").drop("_range")
+
+
 def assigned_lines(lines: DataFrame, intervals: DataFrame) -> DataFrame:
     """lines (file_id, line_no, …) with their block.
 
-    Disjoint intervals are cut into ranges of lines, so the join is an equality on file and range and a line meets only
-    the intervals of its range.
+    Disjoint intervals are cut into ranges of lines, so the join is an equality on file and range.
     """
-    cut = intervals.withColumn("_range", F.explode(F.sequence(F.shiftright("start_line", _RANGE), F.shiftright("end_line", _RANGE))))
-    placed = lines.withColumn("_range", F.shiftright("line_no", _RANGE))
-    return placed.join(small(durable(cut)), ["file_id", "_range"]).where("line_no between start_line and end_line").drop("_range")
+    return covered_lines(lines, intervals)
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -47,8 +56,9 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 def without_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """lines without the first of each file that equals its header text (file_id, header)."""
+    headers = small(headers)
     h = lines.join(headers, "file_id").where(F.trim("raw") == F.trim("header")).groupBy("file_id").agg(F.min("line_no").alias("header_line"))
-    return lines.join(h, "file_id", "left").where("header_line is null or line_no <> header_line").drop("header_line")
+    return lines.join(small(durable(h)), "file_id", "left").where("header_line is null or line_no <> header_line").drop("header_line")
 
 
 def plan_rollup(blocks: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def partitioned(df: DataFrame, by: str) -> DataFrame:
+    """df, written once in a folder per value of a column beside the checkpoints, so that one value is read by itself."""
+    spark = durable(df.limit(0)).sparkSession  # sets the folder
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{root.rstrip('/')}/{by}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """df with a broadcast hint if it has no more rows than that; else the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

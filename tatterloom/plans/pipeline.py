@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tatterloom.functions.scalars import BUCKETS, split_line, strip
 from tatterloom.operators import align, blocks, headers, offsets, profile, sampling, schemas
-from tatterloom.operators.durable import durable, small
+from tatterloom.operators.durable import durable, partitioned, small
 from tatterloom.plans.artifacts import Contract, Contracts
 from tatterloom.plans.control import Config, Job, JobState, Manifests, append_line, progress, throughput
 from tatterloom.sources.lines import file_lines, input_files, raw_lines
@@ -132,6 +132,7 @@ def materialize(
 ) -> list[Summary]:
     """Writes each schema's rows, aligned, fitted and validated, in one plan per schema; counts come from the same pass.
 
+    The lines are split and dealt out by schema in one pass, so a schema's plan reads only its own rows.
     A job that is run again under its id skips the schemas that its manifest has and replaces the others' output, so
     every row is there once.
     """
@@ -148,6 +149,7 @@ def materialize(
     body = blocks.without_headers(mapping.lines, _header_texts(mapping.files))
     lines = blocks.assigned_lines(body, intervals).join(small(mapping.files.select("file_id", "delimiter")), "file_id")
     cells = lines.select("file_id", "line_no", "schema_id", F.transform(split_line(F.col("raw"), F.col("delimiter")), strip).alias("cells"))
+    cells = partitioned(cells, "schema_id")  # the lines are read once, whatever the number of schemas
     out, used = [], {}
     try:
         for sid, schema in sorted(known.items(), key=lambda kv: (kv[1]["name"], kv[0])):

@@ -202,7 +202,7 @@ def block_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"FROM ({RAGGED}) JOIN ({_BLOCKS}) USING (file_id) WHERE line_no BETWEEN start_line AND end_line) WHERE k = 1"
 )
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _lines(spark, sf_dir).join(_blocks(spark, sf_dir), "file_id").where("line_no between start_line and end_line")
+    joined = blocks.covered_lines(_lines(spark, sf_dir), _blocks(spark, sf_dir))
     found = blocks.first_wins(joined.select("file_id", "line_no", "schema_ord", "start_line", "schema_id", "block_id"), ["file_id", "line_no"], [F.col("schema_ord"), F.col("start_line"), F.col("block_id")])
     return found.select("file_id", "line_no", "schema_id", "block_id")
 

@@ -124,8 +124,8 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """rows left-joined with groups (key, size, ...; a row per key, a written table) so that no hot key is one task's.
+def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with groups (key, size, ...; a row per key, a written table) so that no hot key is one task's.
 
     Groups of over a HOT-th of all their rows are at most HOT, so they are broadcast and their rows never shuffle;
     the rows of the others do, and AQE splits what is skewed among them.
@@ -134,8 +134,9 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     hot = groups.where(F.col(size) > total // HOT)
     rest = groups.where(F.col(size) <= total // HOT)
     if rest.isEmpty():
-        return rows.join(F.broadcast(hot), key, "left")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left"))
+        return rows.join(F.broadcast(hot), key, how)
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(rest, key, how))
 
 
 def bit_of(bits: Column, at: Column) -> Column:

@@ -1,8 +1,10 @@
+import random
+
 import brute
 import numpy as np
 import pytest
 
-from tatterloom.llm import exact_dedup, simhash, substring_dedup
+from tatterloom.llm import common, decontaminate, exact_dedup, simhash, similar, substring_dedup
 from tatterloom.llm.components import star_components
 
 
@@ -29,6 +31,39 @@ def test_exact_full_filter_gives_the_same(docs, rows, monkeypatch):
     assert {(r._row_id, r.keep_id, r.group_size, bytes(r.sha).hex()) for r in found} == brute.exact_groups(rows)
 
 
+@pytest.fixture
+def shuffled(monkeypatch):
+    """No side is few enough to be broadcast, bitmaps come one at a time, one group in two is hot."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BITMAPS", 1)
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "MOST_KEYS", 0)
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+
+
+def test_exact_in_slices_without_broadcasts(docs, rows, shuffled, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SLICE_ROWS", 80)
+    found = exact_dedup.duplicate_decisions(docs).collect()
+    assert {(r._row_id, r.keep_id, r.group_size, bytes(r.sha).hex()) for r in found} == brute.exact_groups(rows)
+    texts = [brute.lower(r.text) for r in exact_dedup.exact_dedup(docs).collect()]
+    assert sorted(texts) == sorted({brute.lower(t) for _, t in rows})
+
+
+def test_contamination_without_broadcasts(docs, rows, shuffled, spark):
+    items = [(k, t) for k, (_, t) in enumerate(rows[::9])] + [(None, "one"), (1000, "x1 b"), (1001, None)]
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r._row_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()]
+    want = [(d, n, hit, tuple(x for x in ids if x != "None")) for d, n, hit, ids in brute.contamination(rows, items)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_similar_without_broadcasts(docs, rows, shuffled):
+    found = similar.similar_dedup(docs)
+    assert found.columns == docs.columns
+    assert sorted((r.doc_id for r in found.collect()), key=str) == brute.least_similar(rows)
+
+
 def test_exact_hot_copies(spark):
     docs = spark.createDataFrame([(k, "same" if k % 3 else f"t{k}") for k in range(3000)], "doc_id long, text string")
     found = exact_dedup.duplicate_decisions(docs).where("kept").collect()
@@ -89,3 +124,33 @@ def test_substring_edges_of_a_shared_passage(spark):
     docs = [(k, " ".join([*(f"a{k}.{j}" for j in range(k)), *shared[k : 60 - k], *(f"b{k}.{j}" for j in range(40))])) for k in range(14)]
     found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert sorted(found) == sorted(brute.repeats(docs))
+
+
+def test_substring_index_is_opened_again(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randint(0, 500)}" for _ in range(80)] for _ in range(10)]
+    line = lambda: " ".join([*(f"x{rng.randint(0, 900)}" for _ in range(rng.randint(0, 60))), *rng.choice(base)[rng.randint(0, 20) : rng.randint(40, 80)]])
+    rows = [(k, line()) for k in range(120)]
+    early, late = (common.stored(spark.createDataFrame(part, "doc_id long, text string")) for part in (rows[:50], rows[50:]))
+    folder = common.shared_dir(spark, "index")
+    first = substring_dedup.FingerprintIndex(spark, folder, 4)
+    first.add(early)
+    first.close()
+    again = substring_dedup.FingerprintIndex(spark, folder)
+    number = again.add(late)
+    ids = {(r.file, r.row): r.doc_id for r in late.select("doc_id", *common.place(late)).collect()}
+    gone = {d: set() for d in ids.values()}
+    for r in again.repeated_spans([number]).collect():
+        for k in range(r.span // 32, r.span // 32 + r.span % 32 + 1):
+            gone[ids[r.file, r.row]].update(range(k, k + 35))
+    again.close()
+    assert {d: len(x) for d, x in gone.items()} == {d: n for d, _, n, _ in brute.repeats(rows) if d >= 50}
+
+
+def test_substring_runs_merge_as_they_lie(spark):
+    index = substring_dedup.FingerprintIndex(spark, common.shared_dir(spark, "index"), 4)
+    runs = [index._run(index._write_run(spark.createDataFrame([(k, k % 3, 1)], "anchor long, cover long, n long").repartition(4, "anchor"))["path"]) for k in (1, 2)]
+    with substring_dedup._as_stored(spark):
+        plan = substring_dedup.merged_runs(*runs)._jdf.queryExecution().executedPlan().toString()
+    index.close()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan

@@ -1,3 +1,5 @@
+import collections
+
 import brute
 import oracle
 import public_tokenizers
@@ -66,3 +68,25 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     want = {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in left if d in clean}
     found = corpus_pipeline.run(spark, oracle.SF).collect()
     assert {r.doc_id: list(r.ids) for r in found} == want and len(found) == len(want)
+
+
+def test_pipeline_on_rows_of_all_kinds(docs, rows, spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns of clashing names go through all stages."""
+    labels = [(d, int(len(t or "") % 5 > 0)) for d, t in rows if d is not None]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "one two three four"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = collections.defaultdict(set)
+    for d, t in rows:
+        texts[d].add(t or "")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 0 < len(found) <= len(rows)
+    assert all(list(r.ids) in [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[r.doc_id]] for r in found)
+
+
+def test_pipeline_on_an_empty_table(empty, spark, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,3 +1,4 @@
+import collections
 import random
 import time
 import zlib
@@ -175,6 +176,63 @@ def test_quality_edges(empty, spark):
     assert (quality.statistics([b"B b. b"] * 3)[1] == quality.statistics([b"B b. b"])[0]).all()
 
 
+def test_trees_are_walked_as_one_by_one():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + x[:, 1] ** 2 + 0.3 * rng.normal(size=400) > 0.8).astype(float)
+    trees = quality.fit(x, y)
+    for row, score in zip(x[:50], trees.score(x[:50]), strict=True):
+        total = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    assert np.mean((trees.score(x) >= 0.5) == y) > 0.9
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 20, (300, 3)).astype(float), rng.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 12] = 1
+    trees, p = quality.fit(x, y), (y.sum() + 0.5) / (len(y) + 1)
+    gains = {}
+    for j in range(3):
+        for cut in np.unique(x[:, j]):
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= quality.LEAST_IN_LEAF:
+                part = lambda m: (p - y[m]).sum() ** 2 / (m.sum() * p * (1 - p) + quality.PENALTY)
+                gains[j, cut] = part(left) + part(~left)
+    assert gains[trees.feature[0, 0], trees.threshold[0, 0]] == pytest.approx(max(gains.values()))
+
+
+def test_statistics_by_plain_counts(rows):
+    for text in [t for _, t in rows if t][:40] + ["", "A!! the the THE 12 $x. (y)\n\nend."]:
+        got = quality.statistics([text.encode()])[0]
+        words, size = text.encode().split(), max(1, len(text.encode()))
+        some = max(1, len(words))
+        counts = collections.Counter(words)
+        assert got[2] == pytest.approx(sum(65 <= c <= 90 for c in text.encode()) / size)
+        assert got[3] == pytest.approx(sum(48 <= c <= 57 for c in text.encode()) / size)
+        for k, mark in enumerate(quality.MARKS):
+            assert got[5 + k] == pytest.approx(text.encode().count(mark) / size)
+        rest = got[5 + len(quality.MARKS) :]
+        assert rest[0] == pytest.approx(sum(map(len, words)) / some)
+        assert rest[2] == pytest.approx(len(counts) / some) and rest[3] == pytest.approx(max(counts.values(), default=0) / some)
+        assert rest[4] == pytest.approx(len(set(zip(words, words[1:], words[2:], strict=False))) / max(1, len(words) - 2))
+        assert rest[5] == pytest.approx(sum(a == b for a, b in zip(words, words[1:], strict=False)) / some)
+        assert rest[10] == pytest.approx(sum(len(w) > 14 for w in words) / some) and rest[12] == pytest.approx(np.log1p(len(words)))
+
+
+def test_quality_of_rows_of_all_kinds(docs, rows, spark):
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in rows if d is not None], "doc_id long, quality int")
+    found = quality.quality_scores(docs, labels).collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted((d for d, _ in rows), key=str)
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in found)
+
+
 def test_statistics_do_not_depend_on_neighbours(rows):
     texts = [(t or "").encode() for _, t in rows]
     together = quality.statistics(texts)

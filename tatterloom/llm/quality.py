@@ -186,8 +186,9 @@ def scored(docs: DataFrame, trees: Trees, text_col: str = "text", accept: float
     Null counts as empty; empty texts are scored like others. Repeated rows are scored alike. All columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    at = docs.columns.index(text_col)
-    schema = docs.schema if accept is not None else StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    at, names = docs.columns.index(text_col), docs.columns if accept is not None else [*docs.columns, "_score"]
+    plain = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])  # names with dots don't go through mapInArrow
+    schema = plain.schema if accept is not None else StructType([*plain.schema.fields, StructField("_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +197,15 @@ def scored(docs: DataFrame, trees: Trees, text_col: str = "text", accept: float
             score = pa.array(np.concatenate([np.zeros(0), *parts]))
             yield batch.filter(pc.greater_equal(score, accept)) if accept is not None else pa.RecordBatch.from_arrays([*batch.columns, score], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted): a row per row of docs; a null id is not held out."""
+    """(doc_id, held_out, score, predicted): a row per row of docs; a null id is not held out.
+
+    Null texts count as empty, and these are scored like others; repeated rows are scored alike; an empty table gives
+    an empty result, and without labels every score is 0.5. Other columns aren't read.
+    """
     trees = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), whole(text_col).alias("text"))
     score = F.col("_score")
@@ -208,5 +213,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
+    """The rows of docs that the classifier accepts, with all their columns; see quality_scores."""
     return scored(docs, train(docs, labels, id_col, text_col), text_col, ACCEPT)

@@ -31,6 +31,8 @@ LENGTH, ROWS = 2048, 64
 END = 1
 MOST_WORDS = 800_000  # kept encodings in a worker; then it starts anew
 RANGE_BYTES = 64 << 20  # of input in a file
+#: Ranges grow with the input up to this, so that 100 TB have 400,000 files, of whose sizes the driver holds a row each.
+MOST_RANGE_BYTES = 256 << 20
 
 
 #: Letters and numbers of the texts whose pieces are found here: characters that normalising leaves alone but for case.
@@ -176,7 +178,8 @@ def write_stream(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     fs.create_dir(path, recursive=True)
     text = whole(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("uid"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // RANGE_BYTES))
+    size = input_bytes(docs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // min(MOST_RANGE_BYTES, max(RANGE_BYTES, size >> 12))))
     rows = rows.repartitionByRange(n, "doc_id", "hash", "uid").sortWithinPartitions("doc_id", "hash", "uid").withColumn("part", F.spark_partition_id()).drop("hash", "uid")
     names = ["file", "part", "doc_id", "place", "n_tokens"]
 

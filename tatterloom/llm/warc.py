@@ -1,7 +1,7 @@
 """WARC archives of pages: written as one gzip stream a file, normalised to a member a record, and read by offset.
 
 A first pass over the digests of payloads finds, for each payload, the page that is its response; the others are
-revisits and carry no payload. Each task then writes its pages' records into one archive whose whole file is a single
+revisits, which are written without their pages, so no page is ever shuffled. Each task then writes its pages' records into one archive whose whole file is a single
 gzip stream, as some crawlers do. The normaliser inflates such a file once, as a stream, cuts it into records by
 their Content-Length, and writes each record as a gzip member of its own together with a sidecar index of offsets and
 lengths, so that a record can be read by itself. File names carry the attempt that wrote them; only those in
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import bounded, filesystem, shared_dir, whole, written
+from tatterloom.llm.common import by_bitmaps, filesystem, place, shared_dir, stored, whole, with_groups, written
 
 DATE = "2000-01-01T00:00:00Z"  # pages have no dates; a fixed one keeps archives reproducible
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,12 +105,15 @@ def normalise(source, sink) -> Iterator[tuple[int, int, bytes]]:
         offset += len(member)
 
 
-def responses(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """(digest, refers_to, refers_url) for the payloads that several rows have: the page with the largest id."""
+def revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
+    """(page_id, url, digest, size, refers_to, refers_url, file, row) of the rows of a stored table that carry no payload: others have equal payloads, and the largest of their ids."""
     html = whole(html_col)
-    rows = pages.select(F.unhex(F.sha1(html.cast("binary"))).alias("digest"), F.octet_length(html).alias("size"), F.struct(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).alias("page"))
-    found = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page").alias("page"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(found.select("digest", F.col("page.id").alias("refers_to"), F.col("page.url").alias("refers_url")), "responses")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.unhex(F.sha1(html.cast("binary"))).alias("digest"), F.octet_length(html).cast("long").alias("size"), *place(pages))
+    rows = written(rows.where(F.col("size") >= least), "payloads")
+    page = F.max(F.struct("page_id", "url")).alias("page")
+    groups = written(rows.groupBy("digest").agg(page, F.count(F.lit(1)).alias("n")).where("n > 1 and page.page_id is not null"), "responses")
+    found = with_groups(rows, groups, "digest", "n", "inner").where(~F.col("page.page_id").eqNullSafe(F.col("page_id")))
+    return written(found.select("page_id", "url", "digest", "size", F.col("page.page_id").alias("refers_to"), F.col("page.url").alias("refers_url"), "file", "row"), "revisits")
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = MIN_BYTES) -> DataFrame:
@@ -121,23 +124,29 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     less than any other and revisits, or responds where all ids are null; a null url is empty. An empty table writes
     nothing. Other columns aren't read.
     """
+    pages = stored(pages)
     spark, folder = pages.sparkSession, shared_dir(pages.sparkSession, "warc")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    first = responses(pages, id_col, url_col, html_col, least)
-    html = whole(html_col).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("digest"))
-    rows = rows.join(bounded(first, 200_000), "digest", "left").withColumn("revisit", F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id")) & (F.octet_length("html") >= least))
-    rows = rows.select("page_id", "url", "html", "digest", "refers_to", "refers_url", "revisit")
+    again = revisits(pages, id_col, url_col, html_col, least)
+    first = by_bitmaps(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), whole(html_col).cast("binary").alias("html"), *place(pages)), again.select("file", "row"), False)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    of = pages.schema[id_col].dataType
+    rows = first.select("page_id", "url", "html", none("digest", "binary"), none("size", "long"), none("refers_to", of), none("refers_url", "string"))
+    rows = rows.unionByName(again.select("page_id", "url", none("html", "binary"), "digest", "size", "refers_to", "refers_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = z = None
         name = f"{folder}/{uuid.uuid4().hex}.whole.warc.gz"
         for batch in batches:
-            for page_id, url, html, digest, to, to_url, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, digest, size, to, to_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None:
                     sink, z = fs.open_output_stream(filesystem(name)[1], compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
-                sink.write(z.compress(record("revisit" if revisit else "response", page_id, url, html, base64.b32encode(digest).decode(), len(html), to, to_url)))
+                if html is None:
+                    found = record("revisit", page_id, url, b"", base64.b32encode(digest).decode(), size, to, to_url)
+                else:
+                    found = record("response", page_id, url, html, payload_digest(html), len(html))
+                sink.write(z.compress(found))
         if sink is not None:
             sink.write(z.flush())
             sink.close()

@@ -36,6 +36,7 @@ END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end's hash
 ORDER = 3
 LEAST_BYTES, MOST_BYTES, LEAST_BUCKETS = 4 << 20, 32 << 20, 16
 HELD = 1_000_000  # entries that a task holds before it combines them
+PIECE = 2 << 20  # of text that is looked up at once
 MANY = 32  # words after a context; if there are more, its sums are stored
 SMOOTH = 0.1  # of the base score
 
@@ -45,17 +46,26 @@ def held_out(id_col: str = "doc_id", folds: int = 10) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-@lru_cache(4096)
+MAPS: dict[str, mmap.mmap] = {}
+
+
 def mapped(uri: str) -> memoryview:
     """A file's bytes: mapped if it is in a mounted folder, else read."""
     fs, path = filesystem(uri)
     if urlparse(uri).scheme in ("", "file"):
         with open(path, "rb") as f:
-            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+            MAPS[uri] = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            return memoryview(MAPS[uri])
     with fs.open_input_file(path) as f:
         return memoryview(f.read_buffer())
 
 
+def let_go() -> None:
+    """Gives the mapped pages back, so that a worker's memory doesn't grow to the model's size; the system still caches them."""
+    for m in MAPS.values():
+        m.madvise(mmap.MADV_DONTNEED)
+
+
 def store(uri: str, *data: np.ndarray) -> None:
     """Writes some arrays as one file, which replaces one of that name: a task that runs again writes the same."""
     head = ",".join(f"{a.dtype.str}:{len(a)}" for a in data).encode()
@@ -68,7 +78,7 @@ def store(uri: str, *data: np.ndarray) -> None:
     fs.move(aside, path)
 
 
-@lru_cache(4096)
+@lru_cache(None)  # views of what is mapped
 def arrays(uri: str) -> tuple[np.ndarray, ...]:
     """What store() wrote."""
     data = mapped(uri)
@@ -100,7 +110,7 @@ def sorting(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.intp)
     bits = int(lo.max()).bit_length()
     if int(hi.max()).bit_length() + bits <= 64 and bits < 64:
-        return np.argsort((hi << np.uint64(bits)) | lo, kind="stable")
+        return np.argsort((hi << np.uint64(bits)) | lo)  # equal pairs are alike, so any order of them does
     return np.lexsort((lo, hi))
 
 
@@ -193,9 +203,10 @@ def _counted(rows: DataFrame, count: Callable[[list[bytes], Counter], bool], bou
         counter = Counter()
         for batch in batches:
             texts = [t.as_py().encode().lower() for t in batch["text"]]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, PIECE):
                 if count(texts[a:b], counter):
                     yield from dealt(*counter.take(), bounds)
+                let_go()
         yield from dealt(*counter.take(), bounds)
 
     return rows.mapInArrow(run, DEALT)
@@ -318,7 +329,8 @@ class Model:
             a, b = _range(begin, hi[part])
             out[part] = _sums(unpacked(small, large_at, large, _spread(a, np.minimum(b, a + MANY))), np.minimum(b - a, MANY))
             long = np.flatnonzero(b - a > MANY)
-            out[part[long]] = kept.reshape(-1, 4)[np.searchsorted(many, hi[part[long]])]
+            places = np.arange(part.start, part.stop) if isinstance(part, slice) else part
+            out[places[long]] = kept.reshape(-1, 4)[np.searchsorted(many, hi[places[long]])]
         if of.split:
             ids = np.array(sorted(of.split))
             place = np.minimum(np.searchsorted(ids, contexts), len(ids) - 1)
@@ -347,12 +359,10 @@ class Model:
 
     def _found(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """find() of each distinct pair once."""
-        hi, lo = context.astype(np.uint64), word.astype(np.uint64)
-        order = sorting(hi, lo)
-        first = firsts(hi[order], lo[order])
-        back = np.zeros(len(order), np.intp)
-        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        return self.find(n, context[order][first], word[order][first])[back]
+        order, pair, hi, lo = _distinct(context, word)
+        out = np.empty(len(order), np.int64)
+        out[order] = self.find(n, hi, lo)[pair]
+        return out
 
     def spelled(self, n: int, numbers: np.ndarray) -> np.ndarray:
         """The words of the n-word sequences of these numbers, a row each; a text's begin is the number after the last word's."""
@@ -384,28 +394,46 @@ class Model:
             if not self.tokens:
                 break
             context = self.contexts(n, last, text)
-            last = np.full(len(hashes), -1, np.int64)
             ask = np.flatnonzero(context >= 0)
-            both = ask[known[ask]]
-            last[both] = self._found(n, context[both], word[both])
-            hit = np.flatnonzero(last >= 0)
-            c = np.zeros(len(hashes), np.int64)
-            numbers, back = np.unique(last[hit], return_inverse=True)
-            c[hit] = self.counts(n, numbers)[back]
-            contexts, back = np.unique(context[ask], return_inverse=True)
-            total, *follow = self.sums(n, contexts)[back].T.astype(float)
+            last = np.full(len(hashes), -1, np.int64)
+            if not len(ask):
+                continue
+            # distinct pairs in order, so contexts and numbers ascend too and are sorted once
+            order, pair, hi, lo = _distinct(context[ask], np.where(known, word, self.distinct + 1)[ask])
+            number = self.find(n, hi, lo)
+            hit = np.flatnonzero(number >= 0)
+            c = np.zeros(len(hi), np.int64)
+            c[hit] = self.counts(n, number[hit])
+            new = firsts(hi)
+            total, *follow = np.repeat(self.sums(n, hi[new].astype(np.int64)), np.diff(np.append(new, len(hi))), axis=0).T.astype(float)
             d = np.array([0.0, *self.orders[n].discount])
             spare = d[1] * follow[0] + d[2] * follow[1] + d[3] * follow[2]
-            some, c = total > 0, c[ask]
-            safe = np.where(some, total, 1)
-            p[ask] = np.where(some, np.maximum(c - d[np.minimum(c, 3)], 0) / safe + spare / safe * p[ask], p[ask])
+            safe = np.where(total > 0, total, 1)
+            own, rest = np.maximum(c - d[np.minimum(c, 3)], 0) / safe, np.where(total > 0, spare / safe, 1)
+            at = ask[order]
+            p[at] = own[pair] + rest[pair] * p[at]
+            last[at] = number[pair]
         size = len(texts)
         sums = lambda x: np.bincount(text, x, size)
         return np.bincount(text, minlength=size), sums(known).astype(np.int64), sums(base), sums(np.log10(p))
 
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(order, pair, hi, lo): the order that sorts the pairs, of each in that order its distinct pair's place, and the distinct pairs."""
+    hi, lo = context.astype(np.uint64), word.astype(np.uint64)
+    order = sorting(hi, lo)
+    hi, lo = hi[order], lo[order]
+    first = firsts(hi, lo)
+    return order, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order)))), hi[first], lo[first]
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
     """(bucket, places) of the buckets that occur."""
+    if (bucket[1:] >= bucket[:-1]).all():
+        cut = np.append(firsts(bucket), len(bucket))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield int(bucket[a]), slice(a, b)
+        return
     order = np.argsort(bucket, kind="stable")
     cut = np.append(firsts(bucket[order]), len(order))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -661,8 +689,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py().encode().lower() for t in batch["text"]]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, PIECE):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), *map(pa.array, shared.value.score(texts[a:b]))], ["doc_id", *names])
+                let_go()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 from tatterloom.operators.schemas import Synonyms
 from tatterloom.plans import pipeline
 from tatterloom.plans.artifacts import Contracts, save_mapping, write_artifacts
-from tatterloom.plans.control import EngineError, load_config
+from tatterloom.plans.control import EngineError, Sandbox, load_config
 from tatterloom.sources.tables import Tables
 
 
@@ -44,8 +45,32 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+_PATHS = ("inputs", "config", "log", "output", "tables", "synonyms", "contracts", "dest", "plan", "checkpoint_dir", "telemetry_log")
+
+
+def sandbox(args: argparse.Namespace) -> Sandbox:
+    """The folder that the command runs in; absolute paths that its arguments name are allowed too."""
+    named = [p for k in _PATHS for p in (lambda v: v if isinstance(v, list) else [v])(getattr(args, k, None)) if p]
+    return Sandbox(os.getcwd(), tuple(p for p in named if os.path.isabs(p)))
+
+
+def checked(args: argparse.Namespace) -> argparse.Namespace:
+    """args with paths inside the sandbox, which a relative path must not leave; other file systems' URIs stay as they are."""
+    box = sandbox(args)
+    inside = lambda p: p if "://" in p or p.startswith("file:") else str(box.resolve(p))
+    for k in _PATHS:
+        if value := getattr(args, k, None):
+            setattr(args, k, [inside(v) for v in value] if isinstance(value, list) else inside(value))
+    return args
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    try:
+        args = checked(args)
+    except EngineError as e:
+        print(e, file=sys.stderr)
+        return 1
     spark = SparkSession.builder.appName("tatterloom").getOrCreate()
     try:
         config = load_config(args.profile, args.config)

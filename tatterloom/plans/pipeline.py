@@ -167,7 +167,12 @@ def materialize(
             rows = align.validated(align.align_rows(cells.where(F.col("schema_id") == sid), entries.where(F.col("target_index") < width)), width, specs)
             rows, counts = align.observed(rows, f"v{sid}")
             names = distinct_names([c["name"] or c["raw_name"] for c in own])
-            table = rows.select(*[F.get("cells", k).alias(n) for k, n in enumerate(names)])
+            numbers: list[str] = []
+            if fmt == "database":  # rows are numbered in the order of their files, in chunks of the profile's size
+                numbers = ["chunk_index", "row_in_chunk"]
+                rows = blocks.chunked(rows, ["file_id", "line_no"], config.profile.writer_chunk_rows)
+                names = distinct_names([*numbers, *names])[2:]
+            table = rows.select(*[F.get("cells", k).alias(n) for k, n in enumerate(names)], *numbers)
             start = time.time()
             write_rows(table, fmt, f"{dest.rstrip('/')}/{target}", config.profile.writer_chunk_rows, db_url, target)
             seen = counts.get

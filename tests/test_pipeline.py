@@ -1,4 +1,5 @@
 import json
+import sqlite3
 
 import pytest
 
@@ -232,6 +233,22 @@ def test_streaming_reads_each_file_once(spark, tmp_path):
     assert sorted((r.id, r.n, r.is_short, r.is_long, r.n_missing, r.n_mismatch) for r in rows) == [("1", "2", False, False, 0, 0), ("3", "", True, False, 1, 0), ("5", "x", False, True, 0, 1)]
 
 
+def test_database_rows_are_numbered_in_chunks(spark, folder, tmp_path):
+    config = control.load_config("low_memory", overrides={"profile": {"writer_chunk_rows": 2}})
+    done = pipeline.materialize(pipeline.review(pipeline.analyze(spark, [str(folder / "a.csv")], config)), str(tmp_path), config, "database", db_url=f"sqlite:///{tmp_path}/d.db")
+    with sqlite3.connect(tmp_path / "d.db") as db:
+        found = db.execute(f'SELECT customer_name, chunk_index, row_in_chunk FROM "{done[0].target}" ORDER BY 2, 3').fetchall()
+    assert [f[1:] for f in found] == [(k // 2, k % 2) for k in range(len(found))] and [f[0] for f in found][:3] == ["Ann", "Bob", "Cy"]
+
+
+def test_command_line_stays_in_its_folder(tmp_path, monkeypatch, capsys):
+    (tmp_path / "here").mkdir()
+    monkeypatch.chdir(tmp_path / "here")
+    assert cli.main(["analyze", "../other.csv"]) == 1 and "outside the sandbox" in capsys.readouterr().err
+    args = cli.checked(cli.parser().parse_args(["analyze", str(tmp_path), "s3://bucket/x", "--output", "out/m.json"]))
+    assert args.inputs == [str(tmp_path), "s3://bucket/x"] and args.output == str(tmp_path / "here" / "out" / "m.json")
+
+
 def test_command_line(folder, tmp_path, spark, capsys):
     assert cli.main(["analyze", str(folder), "--output", str(tmp_path / "m.json")]) == 0
     assert (tmp_path / "m.header_clusters.json").exists()

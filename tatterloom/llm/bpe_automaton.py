@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import filesystem, shared_dir, whole
+from tatterloom.llm.common import filesystem, shared_dir, spread, whole
 
 #: Letters, numbers and other signs of the texts that are pre-split here; others are by the tokenizers library.
 LETTERS, NUMBERS, SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "¡-¿×÷–—‘-„…€"
@@ -243,4 +243,4 @@ def _mapped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns
                 cols = [pa.array(list(c), types.get(n, pa.string())) for n, c in zip(names, zip(*made, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *cols], ["doc_id", *names])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)

@@ -19,6 +19,7 @@ BROADCAST_ROWS = 500_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many hot groups are broadcast.
 HOT = 100_000
+SPREAD = 4 << 20
 #: A bitmap holds so many rows of a file (the size of bitmap_construct_agg's), and a broadcast so many bitmaps: 32 MB.
 BITMAP_ROWS, BITMAPS = 1 << 15, 1 << 13
 
@@ -119,6 +120,15 @@ def row_key(docs: DataFrame, id_col: str) -> list[Column]:
     return [F.col(id_col).alias("_row_id"), *place(docs)]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out to all cores if they come from files too small to be split: one row group is one task's.
+
+    Below SPREAD bytes a core this shuffles some megabytes; above it files are read where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if input_bytes(rows) < cores * SPREAD else rows
+
+
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its count is proven small, else df for a shuffled join."""
     return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df

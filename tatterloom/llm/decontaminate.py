@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import BROADCAST_ROWS, ascii_lower, bit_of, bounded, by_bitmaps, keep_rows, place, row_key, stored, whole, written
+from tatterloom.llm.common import BROADCAST_ROWS, ascii_lower, bit_of, bounded, by_bitmaps, keep_rows, place, row_key, spread, stored, whole, written
 
 WINDOW = 10
 GRAM = 8
@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     docs = stored(docs)
     items, windows, keys, short = _index(benchmark, item_col, item_text_col)
-    rows = _prepared(docs.select(*row_key(docs, id_col), whole(text_col).alias("text")), short)
+    rows = _prepared(spread(docs.select(*row_key(docs, id_col), whole(text_col).alias("text"))), short)
     first = F.struct(F.lit(-1).alias("place"), F.size("w1").alias("length"), F.lit(None).cast("long").alias("key"))
     marks = rows.select("_row_id", "file", "row", F.size("w1").alias("n"), F.explode(F.concat(F.array(first), _marks(short))).alias("m")).select("_row_id", "file", "row", "n", "m.*")
     met = _known(marks, keys)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import ascii_lower, bit_of, keep_rows, row_key, shared_dir, stored, whole, with_groups, written
+from tatterloom.llm.common import ascii_lower, bit_of, keep_rows, row_key, shared_dir, spread, stored, whole, with_groups, written
 
 CELLS_PER_ROW = 16
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 30
@@ -24,7 +24,8 @@ _BUCKET = 15  # bits of a cell's place in its bitmap, as in bitmap_construct_agg
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of a stored table: its id and place, and the SHA-256 of the normalised text."""
-    return docs.select(*row_key(docs, id_col), F.unhex(F.sha2(ascii_lower(whole(text_col)), 256)).alias("sha"))
+    rows = spread(docs.select(*row_key(docs, id_col), whole(text_col).alias("_text")))
+    return rows.select("_row_id", "file", "row", F.unhex(F.sha2(ascii_lower(F.col("_text")), 256)).alias("sha"))
 
 
 def _cell(salt: int, cells: int) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import whole
+from tatterloom.llm.common import spread, whole
 
 SIGMA, RADIUS, THRESHOLD, HOLDS, PART = 1.0, 2, 0.25, 0.99, 0.1
 
@@ -251,4 +251,4 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return spread(rows).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import discard, filesystem, input_bytes, shared_dir, whole, written
+from tatterloom.llm.common import discard, filesystem, input_bytes, shared_dir, spread, whole, written
 from tatterloom.llm.textnum import Words, chunks
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end's hash
@@ -209,7 +209,7 @@ def _counted(rows: DataFrame, count: Callable[[list[bytes], Counter], bool], bou
                 let_go()
         yield from dealt(*counter.take(), bounds)
 
-    return rows.mapInArrow(run, DEALT)
+    return spread(rows).mapInArrow(run, DEALT)
 
 
 MADE = "bucket int, hi binary, lo binary, counts binary, about array<long>"
@@ -693,7 +693,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), *map(pa.array, shared.value.score(texts[a:b]))], ["doc_id", *names])
                 let_go()
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return spread(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:

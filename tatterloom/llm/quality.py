@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tatterloom.llm.common import whole
+from tatterloom.llm.common import spread, whole
 from tatterloom.llm.textnum import Words, chunks, gram_sums, grams
 
 MOST_LABELLED = 20_000
@@ -197,7 +197,7 @@ def scored(docs: DataFrame, trees: Trees, text_col: str = "text", accept: float
             score = pa.array(np.concatenate([np.zeros(0), *parts]))
             yield batch.filter(pc.greater_equal(score, accept)) if accept is not None else pa.RecordBatch.from_arrays([*batch.columns, score], schema.names)
 
-    return plain.mapInArrow(run, schema).toDF(*names)
+    return spread(plain).mapInArrow(run, schema).toDF(*names)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import input_bytes, keep_rows, row_key, stored, whole, with_groups, written
+from tatterloom.llm.common import input_bytes, keep_rows, row_key, spread, stored, whole, with_groups, written
 from tatterloom.llm.components import star_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("_row_id", "file", "row")), pa.array(fps.view(np.int64))], ["_row_id", "file", "row", "fp"])
 
-    return rows.mapInArrow(run, f"_row_id {rows.schema['_row_id'].dataType.simpleString()}, file long, row long, fp long")
+    return spread(rows).mapInArrow(run, f"_row_id {rows.schema['_row_id'].dataType.simpleString()}, file long, row long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tatterloom.llm.common import filesystem, input_bytes, place, shared_dir, stored, whole, with_groups, written
+from tatterloom.llm.common import filesystem, input_bytes, place, shared_dir, spread, stored, whole, with_groups, written
 from tatterloom.llm.textnum import Words, chunks, gram_sums, grams
 
 WINDOW, GRAM = 35, 8
@@ -277,7 +277,7 @@ def _scan(rows: DataFrame, folder: str, schema: str, make: Callable[[list[tuple[
                 if some:
                     yield make([(part["doc_id"][k].as_py(), part["text"][k].as_py(), *places[k], spans[k]) for k in some])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _occurrences_of(rows: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def _occurrences_of(rows: DataFrame) -> DataFrame:
                 cols = [file[a:b][text], row[a:b][text], first * _SPAN + last - first, anchor.view(np.int64), cover.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["file", "row", "span", "anchor", "cover"])
 
-    return rows.select("text", "file", "row").mapInArrow(run, "file long, row long, span long, anchor long, cover long")
+    return spread(rows.select("text", "file", "row")).mapInArrow(run, "file long, row long, span long, anchor long, cover long")
 
 
 def kept_words(text: str, spans: np.ndarray | None) -> tuple[list[bytes], int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import by_bitmaps, filesystem, place, shared_dir, stored, whole, with_groups, written
+from tatterloom.llm.common import by_bitmaps, filesystem, place, shared_dir, spread, stored, whole, with_groups, written
 
 DATE = "2000-01-01T00:00:00Z"  # pages have no dates; a fixed one keeps archives reproducible
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 
-    return written(rows.mapInArrow(run, "file string"), "archives")
+    return written(spread(rows).mapInArrow(run, "file string"), "archives")
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:

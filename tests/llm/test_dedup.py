@@ -39,7 +39,6 @@ def shuffled(monkeypatch):
     monkeypatch.setattr(common, "HOT", 2)
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(decontaminate, "MOST_KEYS", 0)
-    monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
 
 
 def test_exact_in_slices_without_broadcasts(docs, rows, shuffled, monkeypatch):

@@ -347,6 +347,7 @@ class Model:
             some = np.flatnonzero(context >= 0)
             last = np.full(len(found), -1, np.int64)
             last[some] = self._found(n, context[some], found[some])
+            let_go()
         return last
 
     def contexts(self, n: int, last: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -413,6 +414,7 @@ class Model:
             at = ask[order]
             p[at] = own[pair] + rest[pair] * p[at]
             last[at] = number[pair]
+            let_go()
         size = len(texts)
         sums = lambda x: np.bincount(text, x, size)
         return np.bincount(text, minlength=size), sums(known).astype(np.int64), sums(base), sums(np.log10(p))
@@ -463,17 +465,21 @@ def _range(begin: list[np.ndarray], contexts: np.ndarray) -> tuple[np.ndarray, n
 
 def _search(words: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The place of each word in its ascending range of words, or -1."""
-    a, b, end = a.copy(), b.copy(), b
-    todo = np.flatnonzero(a < b)
-    while len(todo):
-        mid = (a[todo] + b[todo]) >> 1
-        low = words[mid] < word[todo]
-        a[todo[low]] = mid[low] + 1
-        b[todo[~low]] = mid[~low]
-        todo = todo[a[todo] < b[todo]]
-    hit = a < end
-    hit[hit] = words[a[hit]] == word[hit]
-    return np.where(hit, a, -1)
+    out = np.full(len(a), -1, np.int64)
+    at = np.flatnonzero(a < b)
+    lo, hi, word = a[at], b[at] - 1, word[at].astype(words.dtype)
+    while len(at):  # the word is at lo to hi, if anywhere; ranges of one word leave
+        one = lo == hi
+        if one.any():
+            end = np.flatnonzero(one)
+            hit = words[lo[end]] == word[end]
+            out[at[end[hit]]] = lo[end[hit]]
+            rest = np.flatnonzero(~one)
+            at, lo, hi, word = at[rest], lo[rest], hi[rest], word[rest]
+        mid = (lo + hi) >> 1
+        low = words[mid] < word
+        lo, hi = np.where(low, mid + 1, lo), np.where(low, hi, mid)
+    return out
 
 
 def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -566,7 +572,7 @@ def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int)
     folder, last = model.folder, n == model.order
     opening = model.distinct if n == 2 else model.orders[n - 1].opening
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    word_type = np.uint32 if model.distinct < 1 << 32 else np.uint64
+    word_type = np.uint32 if model.distinct + 1 < 1 << 32 else np.uint64  # unknown words are that number plus one
 
     def sequences_in(texts: list[bytes], counter: Counter) -> bool:
         own = shared.value

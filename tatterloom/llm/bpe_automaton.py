@@ -35,7 +35,7 @@ LETTERS, NUMBERS, SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "¡-
 USUAL = re.compile(f"[\t\n\r -~{LETTERS}{NUMBERS}{SIGNS}]*")
 #: The pre-splitting pattern of byte-level BPE (fixed value), for those texts.
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-MOST_WORDS = 200_000  # kept encodings in a worker; then it starts anew
+MOST_WORDS = 100_000  # kept encodings in a worker; then it starts anew
 
 
 def byte_chars() -> dict[str, int]:

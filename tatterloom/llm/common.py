@@ -19,7 +19,7 @@ BROADCAST_ROWS = 500_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many hot groups are broadcast.
 HOT = 100_000
-SPREAD = 4 << 20
+SPREAD = 2 << 20
 #: A bitmap holds so many rows of a file (the size of bitmap_construct_agg's), and a broadcast so many bitmaps: 32 MB.
 BITMAP_ROWS, BITMAPS = 1 << 15, 1 << 13
 

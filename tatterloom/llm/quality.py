@@ -192,9 +192,11 @@ def scored(docs: DataFrame, trees: Trees, text_col: str = "text", accept: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(at)]
-            parts = [shared.value.score(statistics(texts[i : i + 2048])) for i in range(0, len(texts), 2048)]
-            score = pa.array(np.concatenate([np.zeros(0), *parts]))
+            parts = [np.zeros(0)]
+            for i in range(0, batch.num_rows, 512):  # texts become Python objects a slice at a time
+                texts = [(t.as_py() or "").encode() for t in batch.column(at).slice(i, 512)]
+                parts.append(shared.value.score(statistics(texts)))
+            score = pa.array(np.concatenate(parts))
             yield batch.filter(pc.greater_equal(score, accept)) if accept is not None else pa.RecordBatch.from_arrays([*batch.columns, score], schema.names)
 
     return spread(plain).mapInArrow(run, schema).toDF(*names)

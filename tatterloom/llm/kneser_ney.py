@@ -17,6 +17,7 @@ so 100 TB have some three million.
 
 from __future__ import annotations
 
+import ctypes
 import mmap
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tatterloom.llm.common import discard, filesystem, input_bytes, shared_dir, spread, whole, written
-from tatterloom.llm.textnum import Words, chunks
+from tatterloom.llm.textnum import Words
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end's hash
 ORDER = 3
@@ -38,6 +39,7 @@ LEAST_BYTES, MOST_BYTES, LEAST_BUCKETS = 4 << 20, 32 << 20, 16
 HELD = 1_000_000  # entries that a task holds before it combines them
 PIECE = 2 << 20  # of text that is looked up at once
 MANY = 32  # words after a context; if there are more, its sums are stored
+MERGED = 8  # words of a context per pair that is looked up; if there are more, the pairs are searched one by one
 SMOOTH = 0.1  # of the base score
 
 
@@ -66,6 +68,27 @@ def let_go() -> None:
         m.madvise(mmap.MADV_DONTNEED)
 
 
+def trim() -> None:
+    """Gives back what earlier tasks of this worker freed, which the allocators keep."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, lower-cased texts) of pieces of about `most` bytes, one of which is held at a time; a longer text stands alone."""
+    start, texts, size = 0, [], 0
+    for k, t in enumerate(column):
+        x = t.as_py().encode().lower()
+        if size and size + len(x) > most:
+            yield start, texts
+            start, texts, size = k, [], 0
+        texts.append(x)
+        size += len(x) + 1
+    if texts:
+        yield start, texts
+
+
 def store(uri: str, *data: np.ndarray) -> None:
     """Writes some arrays as one file, which replaces one of that name: a task that runs again writes the same."""
     head = ",".join(f"{a.dtype.str}:{len(a)}" for a in data).encode()
@@ -104,13 +127,13 @@ def unpacked(small: np.ndarray, large_at: np.ndarray, large: np.ndarray, places:
     return out
 
 
-def sorting(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """The order of pairs of uint64, by one key if they fit in it."""
+def sorting(hi: np.ndarray, lo: np.ndarray, kind: str | None = None) -> np.ndarray:
+    """The order of pairs of uint64, by one key if they fit in it; kind "stable" is the faster one for sorted runs."""
     if not len(hi):
         return np.zeros(0, np.intp)
     bits = int(lo.max()).bit_length()
     if int(hi.max()).bit_length() + bits <= 64 and bits < 64:
-        return np.argsort((hi << np.uint64(bits)) | lo)  # equal pairs are alike, so any order of them does
+        return np.argsort((hi << np.uint64(bits)) | lo, kind=kind)  # equal pairs are alike, so any order of them does
     return np.lexsort((lo, hi))
 
 
@@ -123,9 +146,20 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def counted(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs and how often they occur; sorts one key if they fit in it, which is faster than an order."""
+    bits = int(lo.max()).bit_length() if len(lo) else 64
+    if bits == 64 or int(hi.max()).bit_length() + bits > 64:
+        return combined(hi, lo, np.ones(len(hi), np.int64))
+    key = np.sort((hi << np.uint64(bits)) | lo)
+    first = firsts(key)
+    key, times = key[first], np.diff(np.append(first, len(key)))
+    return key >> np.uint64(bits), key & np.uint64((1 << bits) - 1), times
+
+
 def combined(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs and their summed counts."""
-    order = sorting(hi, lo)
+    """Sorted distinct pairs and their summed counts, of pairs in sorted runs."""
+    order = sorting(hi, lo, "stable")
     hi, lo, counts = hi[order], lo[order], counts[order]
     first = firsts(hi, lo)
     return hi[first], lo[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -154,7 +188,7 @@ class Counter:
     def add(self, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray | None = None) -> bool:
         """Whether take() is due."""
         if counts is None:
-            hi, lo, counts = combined(hi, lo, np.ones(len(hi), np.int64))
+            hi, lo, counts = counted(hi, lo)
         self.held.append((hi, lo, counts))
         self.size += len(hi)
         if self.size > HELD:
@@ -179,8 +213,11 @@ class Bounds:
     def bucket(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(self.hi, hi), np.searchsorted(self.hi, hi, "right")
         out = a - 1 + ((b > a) & (self.lo[np.minimum(a, len(self.lo) - 1)] <= lo))
-        for k in np.flatnonzero(b > a + 1):
-            out[k] = a[k] - 1 + np.searchsorted(self.lo[a[k] : b[k]], lo[k], "right")
+        many = np.flatnonzero(b > a + 1)
+        cut = np.append(firsts(a[many]), len(many)).tolist()
+        for x, y in zip(cut[:-1], cut[1:], strict=True):  # runs of one context, whose buckets are the same
+            at = many[x:y]
+            out[at] = a[at] - 1 + np.searchsorted(self.lo[a[at[0]] : b[at[0]]], lo[at], "right")
         return out
 
 
@@ -200,11 +237,11 @@ def _counted(rows: DataFrame, count: Callable[[list[bytes], Counter], bool], bou
     """DEALT rows of what `count` adds to a counter for pieces of the texts of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         counter = Counter()
         for batch in batches:
-            texts = [t.as_py().encode().lower() for t in batch["text"]]
-            for a, b in chunks(texts, PIECE):
-                if count(texts[a:b], counter):
+            for _, texts in pieces(batch["text"], PIECE):
+                if count(texts, counter):
                     yield from dealt(*counter.take(), bounds)
                 let_go()
         yield from dealt(*counter.take(), bounds)
@@ -224,6 +261,7 @@ def _reduced(rows: DataFrame, buckets: int, make: Callable[..., Iterator[tuple]]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], ["bucket", "hi", "lo", "counts", "about"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         at, counter = None, Counter()
         for batch in batches:
             for bucket, hi, lo, counts in zip(batch["bucket"].to_pylist(), batch["hi"], batch["lo"], batch["counts"], strict=True):
@@ -272,82 +310,71 @@ class Model:
     def file(self, kind: str, order: int, bucket: int) -> tuple[np.ndarray, ...]:
         return arrays(f"{self.folder}/{kind}-{order}-{bucket}")
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number, count) of each hash; number -1 for unknown words."""
+    def words(self, hashes: np.ndarray, counts: bool = False) -> tuple[np.ndarray, ...]:
+        """(number,) of each hash, -1 for unknown words; with counts, (number, count, how many contexts it follows)."""
         keys, back = np.unique(hashes, return_inverse=True)
-        number, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        number, count, before = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for k, part in _by_bucket(np.searchsorted(self.word_bounds, keys, "right") - 1):
             if self.word_offset[k + 1] > self.word_offset[k]:
                 known, *n = self.file("words", 1, k)
                 place = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
                 hit = known[place] == keys[part]
                 number[part] = np.where(hit, self.word_offset[k] + place, -1)
-                count[part] = np.where(hit, unpacked(*n, place), 0)
-        return number[back], count[back]
-
-    def before(self, numbers: np.ndarray) -> np.ndarray:
-        """How many contexts each known word follows."""
-        keys, back = np.unique(numbers, return_inverse=True)
-        out = np.zeros(len(keys), np.int64)
-        for k, part in _by_bucket(np.searchsorted(self.word_offset, keys, "right") - 1):
-            out[part] = unpacked(*self.file("before", 1, k), keys[part] - self.word_offset[k])
-        return out[back]
-
-    def find(self, n: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The numbers of the n-word sequences of known contexts and words; -1 for those that don't occur."""
-        of = self.orders[n]
-        hi, lo = context.astype(np.uint64), word.astype(np.uint64)
-        out = np.full(len(hi), -1, np.int64)
+                if counts:
+                    count[part] = np.where(hit, unpacked(*n, place), 0)
+                    if self.pairs:
+                        before[part] = np.where(hit, unpacked(*self.file("before", 1, k), place), 0)
+        return (number[back], count[back], before[back]) if counts else (number[back],)
+
+    def find(self, n: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """The numbers of the n-word sequences of ascending pairs (context, word); -1 for those that don't occur."""
+        of, out = self.orders[n], np.full(len(hi), -1, np.int64)
         if of.size:
             for k, part in _by_bucket(of.bounds.bucket(hi, lo)):
                 if of.offset[k + 1] > of.offset[k]:
                     words, *begin = self.file("next", n, k)
-                    a, b = _range(begin, hi[part])
-                    place = _search(words, a, b, lo[part])
+                    place = _places(words, begin, hi[part], lo[part])[0]
                     out[part] = np.where(place >= 0, of.offset[k] + place, -1)
         return out
 
-    def counts(self, n: int, numbers: np.ndarray) -> np.ndarray:
-        """The (adjusted) counts of n-word sequences."""
-        of, out = self.orders[n], np.zeros(len(numbers), np.int64)
-        for k, part in _by_bucket(np.searchsorted(of.offset, numbers, "right") - 1):
-            out[part] = unpacked(*self.file("counts", n, k)[:3], numbers[part] - of.offset[k])
-        return out
-
-    def sums(self, n: int, contexts: np.ndarray) -> np.ndarray:
-        """(total, words that follow once, twice, oftener) of each context of order n."""
-        of = self.orders[n]
-        out = np.zeros((len(contexts), 4), np.int64)
-        if not of.size:
-            return out
-        hi = contexts.astype(np.uint64)
-        for k, part in _by_bucket(of.bounds.bucket(hi, np.zeros(len(hi), np.uint64))):
-            if k < 0 or of.offset[k + 1] == of.offset[k]:
+    def shares(self, n: int, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, share, rest) of the n-word sequences of ascending pairs: find(), what the word has of its context, and what order n - 1 gets."""
+        of, number = self.orders[n], np.full(len(hi), -1, np.int64)
+        own, total, spare = np.zeros(len(hi)), np.zeros(len(hi)), np.zeros(len(hi))
+        d = np.array([0.0, *of.discount])
+        for k, part in _by_bucket(of.bounds.bucket(hi, lo)) if of.size else ():
+            if of.offset[k + 1] == of.offset[k]:
                 continue
-            begin = self.file("next", n, k)[1:]
+            words, *begin = self.file("next", n, k)
             small, large_at, large, many, kept = self.file("counts", n, k)
-            a, b = _range(begin, hi[part])
-            out[part] = _sums(unpacked(small, large_at, large, _spread(a, np.minimum(b, a + MANY))), np.minimum(b - a, MANY))
-            long = np.flatnonzero(b - a > MANY)
-            places = np.arange(part.start, part.stop) if isinstance(part, slice) else part
-            out[places[long]] = kept.reshape(-1, 4)[np.searchsorted(many, hi[places[long]])]
+            place, new, asked, a, b = _places(words, begin, hi[part], lo[part])
+            hit = np.flatnonzero(place >= 0)
+            c = unpacked(small, large_at, large, place[hit])
+            at = np.arange(part.start, part.stop)[hit] if isinstance(part, slice) else part[hit]
+            number[at], own[at] = of.offset[k] + place[hit], c - d[np.minimum(c, 3)]
+            sums, short = np.zeros((len(new), 4), np.int64), b - a <= MANY
+            sums[short] = _sums(unpacked(small, large_at, large, _spread(a[short], b[short])), (b - a)[short])
+            if not short.all():
+                sums[~short] = kept.reshape(-1, 4)[np.searchsorted(many, hi[part][new[~short]])]
+            total[part], spare[part] = np.repeat(sums[:, 0], asked), np.repeat(sums[:, 1:] @ d[1:], asked)
         if of.split:
-            ids = np.array(sorted(of.split))
-            place = np.minimum(np.searchsorted(ids, contexts), len(ids) - 1)
-            hit = np.flatnonzero(ids[place] == contexts)
-            out[hit] = np.array([of.split[i] for i in ids.tolist()])[place[hit]]
-        return out
+            ids = np.array(sorted(of.split), np.uint64)
+            a, b = np.searchsorted(hi, ids), np.searchsorted(hi, ids, "right")
+            for k in np.flatnonzero(b > a).tolist():
+                total[a[k] : b[k]], *follow = of.split[int(ids[k])]
+                spare[a[k] : b[k]] = np.dot(follow, d[1:])
+        safe = np.where(total > 0, total, 1)
+        return number, np.maximum(own, 0) / safe, np.where(total > 0, spare / safe, 1)
 
     def numbers(self, hashes: np.ndarray, text: np.ndarray, upto: int) -> np.ndarray:
         """The number of the `upto`-word sequence that ends at each token of training texts, or -1 if it would begin before its text."""
-        found, _ = self.words(hashes)
+        (found,) = self.words(hashes)
         last = found
         for n in range(2, upto + 1):
             context = self.contexts(n, last, text)
             some = np.flatnonzero(context >= 0)
             last = np.full(len(found), -1, np.int64)
             last[some] = self._found(n, context[some], found[some])
-            let_go()
         return last
 
     def contexts(self, n: int, last: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -381,15 +408,16 @@ class Model:
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of lower-cased texts."""
         hashes, text = token_hashes(texts)
-        word, count = self.words(hashes)
+        word, count, before = self.words(hashes, True)
         known = word >= 0
-        base = np.log10((count + SMOOTH) / (self.tokens + SMOOTH * (self.distinct + 1)))
+        size = len(texts)
+        sums = lambda x: np.bincount(text, x, size)
+        totals = np.bincount(text, minlength=size), sums(known).astype(np.int64), sums(np.log10((count + SMOOTH) / (self.tokens + SMOOTH * (self.distinct + 1))))
         p = np.full(len(hashes), 1 / (self.distinct + 1))
         if self.pairs:
-            before = np.zeros(len(hashes), np.int64)
-            before[known] = self.before(word[known])
             d = np.array([0.0, *self.word_discount])
             p = self.spare * p + np.maximum(before - d[np.minimum(before, 3)], 0) / self.pairs
+        del count, before
         last = word
         for n in range(2, self.order + 1):
             if not self.tokens:
@@ -401,23 +429,11 @@ class Model:
                 continue
             # distinct pairs in order, so contexts and numbers ascend too and are sorted once
             order, pair, hi, lo = _distinct(context[ask], np.where(known, word, self.distinct + 1)[ask])
-            number = self.find(n, hi, lo)
-            hit = np.flatnonzero(number >= 0)
-            c = np.zeros(len(hi), np.int64)
-            c[hit] = self.counts(n, number[hit])
-            new = firsts(hi)
-            total, *follow = np.repeat(self.sums(n, hi[new].astype(np.int64)), np.diff(np.append(new, len(hi))), axis=0).T.astype(float)
-            d = np.array([0.0, *self.orders[n].discount])
-            spare = d[1] * follow[0] + d[2] * follow[1] + d[3] * follow[2]
-            safe = np.where(total > 0, total, 1)
-            own, rest = np.maximum(c - d[np.minimum(c, 3)], 0) / safe, np.where(total > 0, spare / safe, 1)
+            number, own, rest = self.shares(n, hi, lo)
             at = ask[order]
             p[at] = own[pair] + rest[pair] * p[at]
             last[at] = number[pair]
-            let_go()
-        size = len(texts)
-        sums = lambda x: np.bincount(text, x, size)
-        return np.bincount(text, minlength=size), sums(known).astype(np.int64), sums(base), sums(np.log10(p))
+        return *totals, sums(np.log10(p))
 
 
 def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -463,23 +479,46 @@ def _range(begin: list[np.ndarray], contexts: np.ndarray) -> tuple[np.ndarray, n
     return a, np.where(there, b, a)
 
 
+def _places(words: np.ndarray, begin: list[np.ndarray], hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, new, asked, a, b): where ascending pairs (context, word) are in a bucket's words, -1 for those that aren't there;
+    where each context begins among the pairs, how many pairs it has, and the range of its words.
+
+    Ranges that aren't much longer than what is asked of them are met with the pairs all at once, those of which much
+    is asked are searched one by one, and the others side by side.
+    """
+    new = firsts(hi)
+    asked = np.diff(np.append(new, len(hi)))
+    a, b = _range(begin, hi[new])
+    of, place, bits = np.repeat(np.arange(len(new)), asked), np.full(len(hi), -1, np.int64), np.uint64(64 - len(new).bit_length())
+    few = b - a <= MERGED * asked
+    end = np.where(few, b, a)
+    at = _spread(a, end)
+    if len(at):  # words' numbers have over 40 bits unless a bucket's pairs have over 16 million contexts
+        have = (np.repeat(np.arange(len(new), dtype=np.uint64), end - a) << bits) | words[at]
+        want = (of.astype(np.uint64) << bits) | lo
+        k = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        place = np.where(have[k] == want, at[k], -1)
+    word = lo.astype(words.dtype)
+    hot = ~few & (asked >= MANY)
+    for k in np.flatnonzero(hot).tolist():
+        own, want = words[a[k] : b[k]], word[new[k] : new[k] + asked[k]]
+        there = np.minimum(own.searchsorted(want), len(own) - 1)
+        place[new[k] : new[k] + asked[k]] = np.where(own[there] == want, a[k] + there, -1)
+    some = np.flatnonzero(~(few | hot)[of])
+    if len(some):
+        place[some] = _search(words, a[of[some]], b[of[some]], word[some])
+    return place, new, asked, a, b
+
+
 def _search(words: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The place of each word in its ascending range of words, or -1."""
-    out = np.full(len(a), -1, np.int64)
-    at = np.flatnonzero(a < b)
-    lo, hi, word = a[at], b[at] - 1, word[at].astype(words.dtype)
-    while len(at):  # the word is at lo to hi, if anywhere; ranges of one word leave
-        one = lo == hi
-        if one.any():
-            end = np.flatnonzero(one)
-            hit = words[lo[end]] == word[end]
-            out[at[end[hit]]] = lo[end[hit]]
-            rest = np.flatnonzero(~one)
-            at, lo, hi, word = at[rest], lo[rest], hi[rest], word[rest]
-        mid = (lo + hi) >> 1
-        low = words[mid] < word
-        lo, hi = np.where(low, mid + 1, lo), np.where(low, hi, mid)
-    return out
+    """The place of each word in its ascending range of words, which has some, or -1."""
+    size = b - a
+    for _ in range(int(size.max() - 1).bit_length()):  # the word is among `size` words from a, if anywhere
+        half = size >> 1
+        mid = a + half
+        a = np.where(words[mid] <= word, mid, a)
+        size = size - half
+    return np.where(words[a] == word, a, -1)
 
 
 def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -577,7 +616,7 @@ def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int)
     def sequences_in(texts: list[bytes], counter: Counter) -> bool:
         own = shared.value
         hashes, text = token_hashes(texts)
-        word, _ = own.words(hashes)
+        (word,) = own.words(hashes)
         context = own.contexts(n, own.numbers(hashes, text, n - 1), text)
         some = np.flatnonzero(context >= 0)
         return counter.add(context[some].astype(np.uint64), word[some].astype(np.uint64))
@@ -595,14 +634,16 @@ def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int)
             done = []
         yield bucket, None, None, None, [len(hi), len(opened), len(done), *done, *_cuts(counts, step).ravel().tolist()]
         if n == 2:
-            suffix = lo
+            keys, times = np.unique(lo, return_counts=True)
         else:
-            words = own.spelled(n - 1, hi.astype(np.int64))[:, 1:]
+            new = firsts(hi)
+            words = own.spelled(n - 1, hi[new].astype(np.int64))[:, 1:]
             context = words[:, 0]
             for k in range(2, n - 1):
                 context = own._found(k, context, words[:, k - 1])
-            suffix = own._found(n - 1, context, lo.astype(np.int64)).astype(np.uint64)
-        keys, times = np.unique(suffix, return_counts=True)
+            context = np.repeat(context, np.diff(np.append(new, len(hi))))
+            context, word, times = counted(context.astype(np.uint64), lo)
+            keys = own.find(n - 1, context, word).astype(np.uint64)
         before = own.word_offset if n == 2 else own.orders[n - 1].offset
         for part in dealt(keys, np.zeros(len(keys), np.uint64), times, Bounds(before[:-1].astype(np.uint64), np.zeros(len(before) - 1, np.uint64))):
             for k in range(part.num_rows):
@@ -693,10 +734,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
-            texts = [t.as_py().encode().lower() for t in batch["text"]]
-            for a, b in chunks(texts, PIECE):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), *map(pa.array, shared.value.score(texts[a:b]))], ["doc_id", *names])
+            for a, texts in pieces(batch["text"], PIECE):
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, len(texts)), *map(pa.array, shared.value.score(texts))], ["doc_id", *names])
                 let_go()
 
     return spread(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")

@@ -126,6 +126,30 @@ def test_kneser_ney_in_many_buckets(spark, monkeypatch, order):
     assert all(found[d] == pytest.approx(score) for d, *_, score in brute.kneser_ney(rows, order))
 
 
+def test_kneser_ney_ranges():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 9, 300)
+    sizes[[3, 50, 51, 200]] = 5_000, 900, 40, 2_000  # words after each of contexts 7, 8 ...
+    ranges = [np.sort(rng.choice(20_000, n, replace=False)) for n in sizes]
+    words, starts = np.concatenate(ranges).astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+    have = {(7 + c, w): starts[c] + k for c, own in enumerate(ranges) for k, w in enumerate(own.tolist())}
+    pairs = {(7 + c, int(w)) for c in range(-2, 303) for w in rng.integers(0, 20_001, 200 if c in (3, 51) else 4)} | {x for x in have if rng.random() < 0.2 and x[0] != 57}
+    hi, lo = np.array(sorted(pairs), np.uint64).T
+    place = kneser_ney._places(words, [np.array([7]), *kneser_ney._steps(starts)], hi, lo)[0]
+    assert place.tolist() == [have.get(x, -1) for x in sorted(pairs)]
+    hi, lo = np.repeat(hi, 3), np.repeat(lo, 3)
+    for a, b in zip(kneser_ney.counted(hi, lo), kneser_ney.combined(hi, lo, np.ones(len(hi), np.int64)), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_kneser_ney_reads_a_bucket_once_a_piece(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b c{k % 7} d e{k % 5}") for k in range(40)], "doc_id long, text string")
+    model, seen, file = kneser_ney.train(docs), [], kneser_ney.Model.file
+    monkeypatch.setattr(kneser_ney.Model, "file", lambda self, *of: seen.append(of) or file(self, *of))
+    model.score([b"a b c1 d e2", b"b c9 d a"])
+    assert {of[0] for of in seen} == {"words", "before", "next", "counts"} and len(seen) == len(set(seen))
+
+
 def colliding_words():
     """Two words that every polynomial modulo 2**64 takes for one: the Thue-Morse string and its complement."""
     word = b"a"

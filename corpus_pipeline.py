@@ -5,8 +5,8 @@ scored, compared and tokenised like any other, so at most one stays. Of rows tha
 texts the one with the largest id, of similar ones that with the smallest, a null id being the last choice. An empty
 table gives an empty result; without labels the classifier accepts nothing.
 
-The near-duplicate stage is operator 7 at its stage's similarity: it links texts of similarity 0.8 or more by their shingles
-themselves, as fingerprints of 64 bits can't tell these (README has the figures).
+The near-duplicate stage is operator 7 on five-word shingles: SimHash fingerprints through Gray-order indexes, then an exact
+check of similarity 0.8 or more. Links that differ in more bits than the indexes search are found by their rarest shingles.
 """
 
 from __future__ import annotations

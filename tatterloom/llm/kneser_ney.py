@@ -17,7 +17,6 @@ so 100 TB have some three million.
 
 from __future__ import annotations
 
-import ctypes
 import mmap
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import discard, filesystem, input_bytes, shared_dir, spread, whole, written
+from tatterloom.llm.common import discard, filesystem, input_bytes, shared_dir, spread, trim, whole, written
 from tatterloom.llm.textnum import Words
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # the end's hash
@@ -68,13 +67,6 @@ def let_go() -> None:
         m.madvise(mmap.MADV_DONTNEED)
 
 
-def trim() -> None:
-    """Gives back what earlier tasks of this worker freed, which the allocators keep."""
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, lower-cased texts) of pieces of about `most` bytes, one of which is held at a time; a longer text stands alone."""
     start, texts, size = 0, [], 0

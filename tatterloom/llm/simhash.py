@@ -45,7 +45,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     of, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for i in range(0, n, _PIECE):
         part = [of(line[a:b], SEED) for a, b in zip(starts[i : min(i + _PIECE, n)].tolist(), stops[i : i + _PIECE].tolist(), strict=True)]
-        counts += np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += _ones(np.array(part, np.uint64))
+    return _over_half(counts, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have."""
+    return _over_half(sum(_ones(hashes[i : i + _PIECE]) for i in range(0, len(hashes), _PIECE)), len(hashes))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _over_half(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
@@ -120,8 +133,9 @@ def forest(codes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndar
     """(member, root) edges that connect just what links of at most radius bits connect among distinct codes."""
     index = GrayIndex(codes)
     root = np.arange(len(codes))
-    for first in range(0, len(codes), 512):
-        i, j = index.within(first, min(first + 512, len(codes)), radius)
+    step = 512 if radius <= RADIUS else max(16, min(512, (1 << 20) // len(codes)))  # wide searches reach many leaves
+    for first in range(0, len(codes), step):
+        i, j = index.within(first, min(first + step, len(codes)), radius)
         while True:
             a, b = root[i], root[j]
             apart = a != b

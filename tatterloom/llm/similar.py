@@ -1,15 +1,18 @@
 """The near-duplicate stage's links: pairs of texts whose word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of 64 bits can't give these links: at that similarity they differ in some 4 to 14 bits, and an index for
-so wide a radius prunes almost nothing (README has the recall of narrower ones). So candidates come from the rarest
-shingles instead, without loss: two sets of that similarity share one of the first n - ceil(0.8 n) + 1 of each, in any
+This is operator 7 with the stage's shingles and an exact check. Texts with one set of shingles are one node. A node's
+SimHash fingerprint goes to the Gray-order indexes of simhash.links, at RADIUS bits; what these connect are candidates.
+
+At a similarity of 0.8 fingerprints of 64 bits differ in some 4 to 14 bits, and an index for so wide a radius prunes
+almost nothing (README has the recall of narrower ones). So that no link is lost, the pairs that the indexes leave apart
+have an exact way, by the rarest shingles: two sets of that similarity share one of the first n - ceil(0.8 n) + 1 of each, in any
 one order of all shingles. The order here puts shingles that are common in a sample last, so a common passage or line
 seldom is among the first; a sample that misses some costs time and changes no result.
 
-Texts with one set of shingles are one node. Nodes of like sizes that share one of their first shingles are a bucket, and
-buckets of the same nodes are one. Whole sets don't go there, only their sizes and parity bitmaps, of n to 2 n bits for n
-shingles: two bitmaps differ in at most as many bits as the sets have different members, so a pair that differs in more
-than similarity 0.8 allows is no link. What the other pairs connect are components; the sets of these are compared.
+Nodes of like sizes that share one of their first shingles are a bucket, and buckets of the same nodes are one.
+Whole sets don't go there, only their sizes and parity bitmaps, of n to 2 n bits for n shingles: two bitmaps differ in at
+most as many bits as the sets have different members, so a pair that differs in more than similarity 0.8 allows is no
+link. What the indexes and the other pairs connect are components; the sets of these are compared.
 
 Both comparisons search from each node to the nodes not reached so far, which gives a spanning forest, and among nodes
 that are all alike ends after few steps, so no pairs are listed. A group of over MOST nodes is never gathered: its nodes
@@ -29,11 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import bounded, by_bitmaps, keep_rows, row_key, spread, stored, whole, with_groups, written
+from tatterloom.llm import simhash
+from tatterloom.llm.common import bounded, by_bitmaps, keep_rows, row_key, spread, stored, trim, whole, with_groups, written
 from tatterloom.llm.components import star_components
-from tatterloom.llm.simhash import SEED, least_rows
+from tatterloom.llm.simhash import SEED, least_rows, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
+RADIUS = 5  # bits within which fingerprints are linked
+MOST_IN_INDEX = 5_000  # fingerprints of a key that one index holds: fewer than op7's, as wider searches prune less
 SAMPLE = 5_000  # rows whose shingles are counted for the order
 MOST_COMMON = 200_000  # shingles with a place of their own at the order's end: 3 MB
 MOST = 2_000  # nodes of a bucket that one task holds
@@ -51,6 +57,11 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(found, np.uint64).view(np.int64))
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """A set's fingerprint; of an even number the least one decides where half have a bit, else zeros would outweigh in short texts."""
+    return majority((grams if len(grams) % 2 else np.append(grams, grams[0])).view(np.uint64))
+
+
 def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles in the order of (count, hash) that a set of this similarity must share one of."""
     n = len(grams) - math.ceil(similarity * len(grams) - _EPS) + 1
@@ -172,22 +183,34 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
-    """(_row_id, file, row, node, first, size, data) of rows (_row_id, file, row, text): a digest of the set, its first shingles, size and bitmap."""
+    """(_row_id, file, row, node, fp, first, size, data) of rows (_row_id, file, row, text): the set's digest and fingerprint, its first shingles, size and bitmap."""
     ordered = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         common, counts = ordered.value
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 sets = [shingles(t.as_py(), shingle) for t in part["text"]]
                 nodes = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                fps = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64))
                 first = _lists([prefix(s, common, counts, similarity) for s in sets])
                 rest = [pa.array([len(s) for s in sets], pa.int32()), pa.array(list(map(bitmap, sets)), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("_row_id", "file", "row")), nodes, first, *rest], ["_row_id", "file", "row", "node", "first", "size", "data"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("_row_id", "file", "row")), nodes, fps, first, *rest], ["_row_id", "file", "row", "node", "fp", "first", "size", "data"])
 
     kind = rows.schema["_row_id"].dataType.simpleString()
-    return spread(rows).mapInArrow(run, f"_row_id {kind}, file long, row long, node binary, first array<long>, size int, data binary")
+    return spread(rows).mapInArrow(run, f"_row_id {kind}, file long, row long, node binary, fp long, first array<long>, size int, data binary")
+
+
+def _by_fingerprints(nodes: DataFrame, radius: int, most: int = MOST_IN_INDEX) -> DataFrame:
+    """(a, b): edges that connect the nodes (uid, fp) whose fingerprints are equal or connected by the indexes."""
+    codes = written(nodes.groupBy("fp").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")), "codes")
+    equal = with_groups(nodes.select("uid", "fp"), codes.where("n > 1"), "fp", "n", "inner").where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
+    named = simhash.links(codes.select("fp"), radius, most)
+    for c in ("a", "b"):
+        named = named.withColumnRenamed(c, "fp").join(codes.select("fp", F.col("least").alias(c)), "fp").drop("fp")
+    return equal.unionByName(named)
 
 
 def _buckets(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -234,6 +257,7 @@ def _forests(groups: DataFrame, payload: DataFrame, find, similarity: float, mos
     rows = keyed.join(payload, "uid").select("gram", "i", "j", "uid", "size", "data").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         now, uids, held = None, [], []
 
         def edges() -> pa.RecordBatch:
@@ -256,9 +280,10 @@ def _forests(groups: DataFrame, payload: DataFrame, find, similarity: float, mos
     return found if seen is None else found.unionByName(seen.where("alike and uid <> to").select(F.col("uid").alias("a"), F.col("to").alias("b")))
 
 
-def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
-    """(a, b) edges among the uid of nodes (uid, file, row, first, size, data) whose components are those of all links; texts: (file, row, text)."""
-    star = star_components(_forests(_buckets(nodes, similarity), nodes.select("uid", "size", "data"), _by_bitmaps, similarity, most))
+def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, radius: int = RADIUS) -> DataFrame:
+    """(a, b) edges among the uid of nodes (uid, file, row, fp, first, size, data) whose components are those of all links; texts: (file, row, text)."""
+    rest = _forests(_buckets(nodes, similarity), nodes.select("uid", "size", "data"), _by_bitmaps, similarity, most)
+    star = star_components(_by_fingerprints(nodes, radius).unionByName(rest))
     star = written(star.select(F.col("a").alias("uid"), F.col("b").alias("gram")).unionByName(star.select(F.col("b").alias("uid"), F.col("b").alias("gram")).distinct()), "components")
     sizes = written(star.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "sizes")
     wanted = written(nodes.select("uid", "file", "row").join(bounded(star.select("uid")), "uid"), "wanted")
@@ -278,7 +303,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     one = written(rows.groupBy("node").agg(F.min(F.struct("uid", "file", "row")).alias("one"), F.count(F.lit(1)).alias("size")), "one")
     copies = with_groups(rows.select("node", "uid", "file", "row"), one, "node", "size").where(F.col("uid") != F.col("one.uid"))
-    nodes = by_bitmaps(rows.select("uid", "file", "row", "first", "size", "data"), copies.select("file", "row"), False)
+    nodes = by_bitmaps(rows.select("uid", "file", "row", "fp", "first", "size", "data"), copies.select("file", "row"), False)
     star = star_components(links(nodes, texts.select("file", "row", "text"), shingle, similarity, most))
     named = one.join(star, one["one.uid"] == star["a"], "left").select("node", "size", F.coalesce("b", "one.uid").alias("group"))
     return with_groups(rows.select("_row_id", "file", "row", "node"), written(named, "named"), "node", "size").select("_row_id", "file", "row", "group")

@@ -79,3 +79,27 @@ def test_one_row_stays_of_rows_that_repeat_an_id(spark):
     rows = [(1, words), (1, words + " extra"), (2, words + " other"), (None, "a b"), (None, "A  b"), (None, None)]
     found = similar.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id for r in found), key=str) == [1, None, None]
+
+
+def test_stage_goes_through_the_gray_index(spark, near, monkeypatch):
+    asked, links = [], similar.simhash.links
+
+    def seen(codes, radius, most):
+        asked.append((codes.count(), radius))
+        return links(codes, radius, most)
+
+    monkeypatch.setattr(similar.simhash, "links", seen)
+    found = corpus_pipeline.near(spark, spark.createDataFrame(near, "doc_id long, text string"), "")
+    assert sorted((r.doc_id for r in found.collect()), key=str) == brute.least_similar(near)
+    assert asked and asked[0][0] > 1 and asked[0][1] == similar.RADIUS
+
+
+@pytest.mark.parametrize("most", [6, 5_000])
+def test_fingerprints_connect_all_within_the_radius(spark, near, most):
+    fps = [similar.fingerprint(similar.shingles(t)) for _, t in near]
+    rows = [(k, fp - (1 << 64) if fp >> 63 else fp) for k, fp in enumerate(fps)]
+    edges = similar._by_fingerprints(spark.createDataFrame(rows, "uid long, fp long"), similar.RADIUS, most).collect()
+    groups = brute.components(fps, lambda a, b: (a ^ b).bit_count() <= similar.RADIUS)
+    linked = {frozenset((r.a, r.b)) for r in edges}
+    assert brute.components(range(len(fps)), lambda i, j: frozenset((i, j)) in linked) == groups
+    assert len(set(groups)) < len(groups)

@@ -17,8 +17,9 @@ import hashlib
 import json
 import mmap
 import re
-from collections.abc import Iterator
-from functools import cache, lru_cache
+import zlib
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 from urllib.parse import urlparse
 
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tatterloom.llm.common import filesystem, shared_dir, spread, whole
+from tatterloom.llm.common import filesystem, shared_dir, spread, trim, whole
 
 #: Letters, numbers and other signs of the texts that are pre-split here; others are by the tokenizers library.
 LETTERS, NUMBERS, SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "¡-¿×÷–—‘-„…€"
 USUAL = re.compile(f"[\t\n\r -~{LETTERS}{NUMBERS}{SIGNS}]*")
 #: The pre-splitting pattern of byte-level BPE (fixed value), for those texts.
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-MOST_WORDS = 100_000  # kept encodings in a worker; then it starts anew
+MOST_WORDS = 100_000  # kept encodings in a worker, in two generations; the older one then goes
 
 
 def byte_chars() -> dict[str, int]:
@@ -85,38 +86,57 @@ def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]]) -> tupl
     return target, full, live
 
 
+class Encodings(dict):
+    """The ids of words, made by `make` when first asked for; of half of MOST_WORDS and more only those asked for again stay."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MOST_WORDS // 2:
+            self.old = self.copy()
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+
 class Automaton:
     """The compiled tables in a worker, with encoding and decoding."""
 
     def __init__(self, spec: dict, closed: memoryview | bytes):
-        self.closed, self.width, self.target = closed, spec["width"], spec["target"].tolist()
+        self.closed, width, target = closed, spec["width"], spec["target"].tolist()
         self.labels: list[bytes] = spec["labels"]
         self.special: dict[str, int] = spec["special"]
         self.arcs = ahocorasick.Automaton()
         for i in np.flatnonzero(spec["live"]).tolist():
-            self.arcs.add_word(self.labels[i].decode("latin-1"), (i, len(self.labels[i])))
+            self.arcs.add_word(self.labels[i].decode("latin-1"), (i, len(self.labels[i]), i * width, target[i]))
         self.arcs.make_automaton()
-        self.found: dict[str, tuple[int, ...]] = {}
+        self.found = Encodings(lambda w: self.word(w.encode()))
         self.at_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.chars = byte_chars()
         self.slow = None
 
     def word(self, data: bytes) -> tuple[int, ...]:
         """The ids of a pre-split word: of the labels that end at a place, one has an arc from the state where it starts."""
-        n, closed, width, target = len(data), self.closed, self.width, self.target
-        state, back, last = [0] + [-1] * n, [0] * (n + 1), [0] * (n + 1)
-        for end, (t, size) in self.arcs.iter(data.decode("latin-1")):
-            end += 1
+        n, closed = len(data), self.closed
+        state, last = [-1] * n + [0], [None] * n  # after each place; the start's is at -1
+        for end, token in self.arcs.iter(data.decode("latin-1")):
             if state[end] < 0:
+                _, size, row, to = token
                 s = state[end - size]
-                if s >= 0 and not closed[t * width + (s >> 3)] >> (s & 7) & 1:
-                    state[end], back[end], last[end] = target[t], end - size, t
-        if state[n] < 0:
+                if s >= 0 and not closed[row + (s >> 3)] >> (s & 7) & 1:
+                    state[end], last[end] = to, token
+        if n and state[n - 1] < 0:
             raise ValueError(f"the vocabulary has no tokens for {data!r}")
-        ids = []
-        while n:
-            ids.append(last[n])
-            n = back[n]
+        ids, at = [], n - 1
+        while at >= 0:
+            t, size, _, _ = last[at]
+            ids.append(t)
+            at -= size
         return tuple(ids[::-1])
 
     def pre_split(self, text: str) -> list[str]:
@@ -133,16 +153,7 @@ class Automaton:
         """The ids of a text; special tokens in it are their own ids."""
         if self.at_special and any(t in text for t in self.special):
             return list(chain.from_iterable([self.special[p]] if p in self.special else self.encode(p) for p in self.at_special.split(text) if p))
-        words, found = self.pre_split(text), self.found
-        try:
-            return list(chain.from_iterable(map(found.__getitem__, words)))
-        except KeyError:
-            if len(found) + len(words) > MOST_WORDS:
-                found.clear()
-            for w in words:
-                if w not in found:
-                    found[w] = self.word(w.encode())
-            return list(chain.from_iterable(map(found.__getitem__, words)))
+        return list(chain.from_iterable(map(self.found.__getitem__, self.pre_split(text))))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
@@ -150,7 +161,7 @@ class Automaton:
 
 @cache
 def _compiled(path: str) -> tuple[dict, bytes]:
-    """The tables of a tokenizer file, by its merges alone."""
+    """The tables of a tokenizer file, by its merges alone; the bits are packed, as the driver keeps them."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, model = spec["pre_tokenizer"], spec["model"]
@@ -168,23 +179,34 @@ def _compiled(path: str) -> tuple[dict, bytes]:
         labels[i] = bytes(chars[c] for c in t) if t not in added else t.encode()
     for t, i in added.items():
         labels[i] = t.encode()
-    return {"width": closed.shape[1], "target": target, "labels": labels, "special": added, "live": live}, closed.tobytes()
+    return {"width": closed.shape[1], "target": target, "labels": labels, "special": added, "live": live}, zlib.compress(closed, 1)
 
 
 def local_automaton(path: str) -> Automaton:
     """For use on one machine."""
-    return Automaton(*_compiled(path))
+    spec, packed = _compiled(path)
+    return Automaton(spec, zlib.decompress(packed))
+
+
+HELD: dict[str, Automaton] = {}  # a worker's last one
 
 
-@lru_cache(1)
 def _worker(uri: str, spec) -> Automaton:
     """A worker's automaton; spec is the broadcast variable."""
+    if uri not in HELD:
+        HELD.clear()
+        trim()
+        HELD[uri] = _opened(uri, spec.value)
+    return HELD[uri]
+
+
+def _opened(uri: str, spec: dict) -> Automaton:
     fs, path = filesystem(uri)
     if urlparse(uri).scheme in ("", "file"):
         with open(path, "rb") as f:
-            return Automaton(spec.value, memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
+            return Automaton(spec, memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
     with fs.open_input_file(path) as f:
-        return Automaton(spec.value, memoryview(f.read_buffer()))
+        return Automaton(spec, memoryview(f.read_buffer()))
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,12 +241,16 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
 def _mapped(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns: str, out) -> DataFrame:
     spark = docs.sparkSession
-    spec, closed = _compiled(tokenizer)
+    spec, packed = _compiled(tokenizer)
     uri = shared_dir(spark, "automaton")
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(path) as f:
-        f.write(closed)
+        bits = zlib.decompressobj()
+        while packed:
+            f.write(bits.decompress(packed, 1 << 20))
+            packed = bits.unconsumed_tail
+        f.write(bits.flush())
     shared = spark.sparkContext.broadcast(spec)
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}"

@@ -43,6 +43,18 @@ def test_merge_gadgets_by_hand():
     assert own.word(b"ab") == (3,) and own.word(b"aab") == (4,) and own.word(b"aaab") == (2, 3)
 
 
+def test_words_that_return_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "MOST_WORDS", 8)
+    own, other, asked = bpe_automaton.local_automaton(BYTE), reference(BYTE), []
+    word = own.word
+    monkeypatch.setattr(own, "word", lambda data: asked.append(data) or word(data))
+    for k in range(50):
+        text = f"frequent qx{k}zv"
+        assert own.encode(text) == other.encode(text, add_special_tokens=False).ids
+    assert asked.count(b"frequent") == 1
+    assert len(own.found) + len(own.found.old) <= 8
+
+
 def test_encoded_rows(docs, rows, empty):
     other = reference(BYTE)
     found = {(r.doc_id, tuple(r.ids), r.decoded) for r in bpe_automaton.encoded(docs, BYTE).collect()}

@@ -358,9 +358,8 @@ class Model:
         safe = np.where(total > 0, total, 1)
         return number, np.maximum(own, 0) / safe, np.where(total > 0, spare / safe, 1)
 
-    def numbers(self, hashes: np.ndarray, text: np.ndarray, upto: int) -> np.ndarray:
-        """The number of the `upto`-word sequence that ends at each token of training texts, or -1 if it would begin before its text."""
-        (found,) = self.words(hashes)
+    def numbers(self, found: np.ndarray, text: np.ndarray, upto: int) -> np.ndarray:
+        """The number of the `upto`-word sequence that ends at each token, of known numbers, of training texts, or -1 if it would begin before its text."""
         last = found
         for n in range(2, upto + 1):
             context = self.contexts(n, last, text)
@@ -609,7 +608,7 @@ def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int)
         own = shared.value
         hashes, text = token_hashes(texts)
         (word,) = own.words(hashes)
-        context = own.contexts(n, own.numbers(hashes, text, n - 1), text)
+        context = own.contexts(n, own.numbers(word, text, n - 1), text)
         some = np.flatnonzero(context >= 0)
         return counter.add(context[some].astype(np.uint64), word[some].astype(np.uint64))
 

@@ -43,6 +43,13 @@ def test_merge_gadgets_by_hand():
     assert own.word(b"ab") == (3,) and own.word(b"aab") == (4,) and own.word(b"aaab") == (2, 3)
 
 
+def test_numbers_take_the_words_that_were_looked_up(monkeypatch):
+    word = np.array([2, 0, 1], np.int64)
+    model = kneser_ney.Model("", 3, np.zeros(1, np.uint64), np.zeros(2, np.int64), 3, 3)
+    monkeypatch.setattr(kneser_ney.Model, "words", lambda *_: pytest.fail("words were looked up again"))
+    assert model.numbers(word, np.zeros(3, np.int64), 1).tolist() == [2, 0, 1]
+
+
 def test_words_that_return_are_encoded_once(monkeypatch):
     monkeypatch.setattr(bpe_automaton, "MOST_WORDS", 8)
     own, other, asked = bpe_automaton.local_automaton(BYTE), reference(BYTE), []

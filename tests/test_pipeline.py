@@ -253,3 +253,15 @@ def test_command_line(folder, tmp_path, spark, capsys):
     assert cli.main(["analyze", str(folder), "--output", str(tmp_path / "m.json")]) == 0
     assert (tmp_path / "m.header_clusters.json").exists()
     assert cli.main(["analyze", str(folder), "--profile", "none"]) == 1
+
+
+def test_sampled_lines_join_a_few_rows_per_block(spark, monkeypatch):
+    sides, small = [], getattr(sampling, "small", None)
+    monkeypatch.setattr(sampling, "small", lambda df: sides.append(df.count()) or small(df), raising=False)
+    lines = spark.range(3000).selectExpr("'a' AS file_id", "id AS line_no", "concat('x', id) AS raw").where("line_no % 5 <> 3")
+    blocks = [(0, 0, 299), (1, 130, 420), (2, 400, 410), (3, 700, 2900), (4, 2950, 2999)]
+    found = sampling.sampled_lines(lines, spark.createDataFrame([("a", *b) for b in blocks], "file_id string, block_id int, start_line long, end_line long"))
+    own = [(0, 0), (1, 300), (3, 700), (4, 2950)]
+    want = {(b, n, f"x{n}", n - a) for b, a in own for n in range(a, min(a + 100, [r[2] for r in blocks if r[0] == b][0] + 1)) if n % 5 != 3}
+    assert {(r.block_id, r.line_no, r.raw, r.ord) for r in found.collect()} == want and found.count() == len(want)
+    assert len(sides) == 1 and sides[0] <= 2 * len(own)

@@ -12,7 +12,8 @@ those that begin a text, which have none, keep their counts.
 Scoring maps these files and looks up each piece's distinct words and sequences, in the buckets that occur, by binary
 search. Everything that is gathered is on disk and grows with the corpus; files are named by their bucket's number,
 and the driver holds a few numbers per bucket. A bucket grows with the input from LEAST_BYTES to MOST_BYTES of text,
-so 100 TB have some three million.
+so 100 TB have some three million. Each piece of text meets all buckets, so there are few of them: from 2 to 16 GB some
+500 an order, and buckets that would hold few tokens are one.
 """
 
 from __future__ import annotations
@@ -176,6 +177,7 @@ class Counter:
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
+        self.most = HELD
 
     def add(self, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray | None = None) -> bool:
         """Whether take() is due."""
@@ -183,15 +185,16 @@ class Counter:
             hi, lo, counts = counted(hi, lo)
         self.held.append((hi, lo, counts))
         self.size += len(hi)
-        if self.size > HELD:
+        if self.size > self.most:
             self.held = [combined(*map(np.concatenate, zip(*self.held, strict=True)))]
             self.size = len(self.held[0][0])
+            self.most = max(HELD, self.size + self.size // 2)  # else over HELD different pairs are sorted again for each few that come
         return self.size > HELD * 0.75
 
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         found = combined(*map(np.concatenate, zip(none, *self.held, strict=True)))
-        self.held, self.size = [], 0
+        self.held, self.size, self.most = [], 0, HELD
         return found
 
 
@@ -557,6 +560,20 @@ def _cuts(counts: np.ndarray, step: int) -> np.ndarray:
     return np.column_stack([place, (at - (total[place] - counts[place])) * 1_000_000 // np.maximum(counts[place], 1)])
 
 
+def _joined_cuts(buckets: list[tuple[int, int, list[int]]], step: int) -> list[tuple[int, int]]:
+    """The cuts that are needed for at most `step` tokens a bucket, of (first number, tokens, what _cuts() gave) of an order's buckets."""
+    found, held = [], 0
+    for first, tokens, cuts in buckets:
+        at = [(first, 0), *((first + c, share) for c, share in zip(cuts[::2], cuts[1::2], strict=True))]
+        for k, cut in enumerate(at):
+            own = step if k + 1 < len(at) else tokens - k * step
+            if held + own > step:
+                found.append(cut)
+                held = 0
+            held += own
+    return found
+
+
 def _next_bounds(cuts: list[tuple[int, int]], words: int) -> Bounds:
     """Buckets of the next order: contexts' shares of a million become shares of the words' numbers, spread evenly by their hashes."""
     pairs = sorted({(0, 0), *((c, share * words // 1_000_000 if share else 0) for c, share in cuts)})
@@ -570,8 +587,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     size = input_bytes(docs)
-    bucket_bytes = min(MOST_BYTES, max(LEAST_BYTES, size >> 10))
-    buckets, step = max(LEAST_BUCKETS, 1 << (size // bucket_bytes).bit_length()), bucket_bytes // 4
+    bucket_bytes = min(MOST_BYTES, max(LEAST_BYTES, size >> 9))
+    buckets, step = max(LEAST_BUCKETS, 1 << (size // (4 * bucket_bytes)).bit_length()), bucket_bytes // 4  # words repeat, so their buckets hold less
     word_bounds = np.arange(buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
 
     def words_of(bucket: int, hashes: np.ndarray, _: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
@@ -590,8 +607,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     model = Model(folder, order, word_bounds, offset, sum(x[1] for _, x in about), int(offset[-1]))
     if not model.tokens:
         return model
-    starts = [(int(offset[k]), 0) for k, _ in about]
-    cuts = starts + [(int(offset[k]) + c, share) for k, x in about for c, share in zip(x[2::2], x[3::2], strict=True)]
+    cuts = _joined_cuts([(int(offset[k]), x[1], x[2:]) for k, x in about], step)
     for n in range(2, order + 1):
         cuts = _add_order(rows, model, n, _next_bounds([*cuts, (model.distinct, 0)] if n == 2 else cuts, model.distinct), step)
     return model
@@ -623,7 +639,7 @@ def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int)
         else:  # the others get the number of words before them
             store(f"{folder}/raw-{n}-{bucket}", *packed(opened))
             done = []
-        yield bucket, None, None, None, [len(hi), len(opened), len(done), *done, *_cuts(counts, step).ravel().tolist()]
+        yield bucket, None, None, None, [len(hi), len(opened), len(done), *done, int(counts.sum()), *_cuts(counts, step).ravel().tolist()]
         if n == 2:
             keys, times = np.unique(lo, return_counts=True)
         else:
@@ -642,14 +658,12 @@ def _add_order(rows: DataFrame, model: Model, n: int, bounds: Bounds, step: int)
 
     buckets = len(bounds.hi)
     made = _reduced(_counted(rows, sequences_in, bounds), buckets, sequences_of, "sequences")
-    sizes, opened, cuts = np.zeros(buckets, np.int64), 0, []
+    sizes, opened = np.zeros(buckets, np.int64), 0
     about = _about(made)
     for k, x in about:
         sizes[k], opened = x[0], opened + x[1]
     offset = np.concatenate([[0], np.cumsum(sizes)])
-    for k, x in about:
-        x = x[3 + x[2] :]
-        cuts += [(int(offset[k]), 0), *((int(offset[k]) + c, share) for c, share in zip(x[::2], x[1::2], strict=True))]
+    cuts = _joined_cuts([(int(offset[k]), x[3 + x[2]], x[4 + x[2] :]) for k, x in about], step)
     model.orders[n] = Order(bounds, offset, int(offset[-1]), int(offset[-1]) - opened)
     if n == 2:
         model.pairs = model.orders[2].size

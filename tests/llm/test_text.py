@@ -177,6 +177,25 @@ def colliding_words():
     return word.decode(), word.translate(bytes.maketrans(b"ab", b"ba")).decode()
 
 
+def test_kneser_ney_buckets_with_few_tokens_are_one(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "LEAST_BYTES", 4000)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * i) % 97}" for i in range(60))) for k in range(100)], "doc_id long, text string")
+    model = kneser_ney.train(docs)
+    assert all(len(of.bounds.hi) <= 2 * -(-model.tokens // 1000) + 2 for of in model.orders.values())
+
+
+def test_many_pairs_are_not_combined_again_for_each_few(monkeypatch):
+    calls, combined = [], kneser_ney.combined
+    monkeypatch.setattr(kneser_ney, "HELD", 100)
+    monkeypatch.setattr(kneser_ney, "combined", lambda *a: calls.append(len(a[0])) or combined(*a))
+    counter, pairs = kneser_ney.Counter(), np.arange(5000, dtype=np.uint64)
+    for part in np.split(pairs, 1000):
+        counter.add(part, part % 7, np.ones(5, np.int64))
+    hi, lo, counts = counter.take()
+    assert hi.tolist() == pairs.tolist() and (lo == pairs % 7).all() and (counts == 1).all()
+    assert sum(calls) < 10 * len(pairs)
+
+
 def test_words_that_polynomials_take_for_one(spark):
     a, b = colliding_words()
     rows = [(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} {a}"), (4, "y")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tatterloom.functions.scalars import kind_of, strip, to_iso_date, to_number
 
@@ -17,6 +18,22 @@ def stack_columns(df: DataFrame, columns: list[str] | None = None, casts: dict[s
     return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def distinct_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(header, value): each column's distinct values as strings, null too.
+
+    Distinct values are found by columns in their own types and only those that are left become strings, so that no
+    row per cell is made. Of types whose different values have different strings; others are made strings first.
+    """
+    out = None
+    for header, column in columns.items():
+        one = df.select(column.alias("value"))
+        if not isinstance(one.schema["value"].dataType, (T.IntegralType, T.DecimalType, T.DateType, T.StringType)):
+            one = one.select(F.col("value").cast("string").alias("value"))
+        one = one.distinct().select(F.lit(header).alias("header"), F.col("value").cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def prepared(cells: DataFrame) -> DataFrame:
     """cells (…, value) with what the measures need, each found once: the stripped cell, its bucket, number and date."""
     kind = F.col("_kind")

@@ -2,8 +2,9 @@ import json
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
-from tatterloom.operators import align, sampling
+from tatterloom.operators import align, profile, sampling
 from tatterloom.operators.schemas import Synonyms, cluster_blocks, header_groups
 from tatterloom.plans import artifacts, cli, control, pipeline
 from tatterloom.sources import lines as source
@@ -265,3 +266,15 @@ def test_sampled_lines_join_a_few_rows_per_block(spark, monkeypatch):
     want = {(b, n, f"x{n}", n - a) for b, a in own for n in range(a, min(a + 100, [r[2] for r in blocks if r[0] == b][0] + 1)) if n % 5 != 3}
     assert {(r.block_id, r.line_no, r.raw, r.ord) for r in found.collect()} == want and found.count() == len(want)
     assert len(sides) == 1 and sides[0] <= 2 * len(own)
+
+
+def test_sketches_are_not_kept_per_distinct_value(spark):
+    import oracle
+
+    from tatterloom import queries
+
+    plan = queries.approx_distinct(spark, oracle.SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "value#" in line.split("functions=")[0]]
+    df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, None), (2, 1.5, "a ")], "k int, x double, s string")
+    found = profile.distinct_values(df, {c: F.col(c) for c in df.columns})
+    assert sorted((r.header, r.value or "-") for r in found.collect()) == [("k", "1"), ("k", "2"), ("s", "-"), ("s", "a"), ("s", "a "), ("x", "-0.0"), ("x", "0.0"), ("x", "1.5")]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tatterloom.functions.scalars import compact_slug, snake_slug, strip, synonym_key
-from tatterloom.operators.durable import small
+from tatterloom.operators.durable import durable, small
 
 HEADER_ALIKE = 0.85
 
@@ -80,15 +80,19 @@ def _first_fit(blocks: pd.DataFrame) -> pd.DataFrame:
 def cluster_blocks(blocks: DataFrame, synonyms: Synonyms) -> DataFrame:
     """(ord, schema_ord): the block that founds each block's schema, for blocks (ord, delimiter, column_count, header_sample).
 
-    Blocks of different delimiters or widths never share a schema, so each such group is clustered by itself. Groups
-    hold a row per sampled block, and distinct headers are compared, not blocks: blocks with one header share a schema.
+    Blocks of different delimiters or widths never share a schema, so each such group is clustered by itself. Distinct
+    headers are named and compared, not blocks: blocks with one header share a schema. Few distinct headers are
+    broadcast to the blocks, which then never shuffle.
     """
+    kept = ["delimiter", "column_count", "header_sample"]
+    headers = blocks.groupBy(*kept).agg(F.min("ord").alias("ord"))
     names = F.array_join(F.transform(F.split(F.col("header_sample"), F.concat(F.lit(r"\Q"), "delimiter", F.lit(r"\E")), -1), lambda h: synonyms.normalized(strip(h))), "|")
-    named = blocks.withColumn("names", names)
+    named = durable(headers.withColumn("names", names))
     distinct = named.groupBy("delimiter", "column_count", "names").agg(F.min("ord").alias("ord"))
     fitted = distinct.groupBy("delimiter", "column_count").applyInPandas(_first_fit, "ord long, schema_ord long")
     founders = distinct.join(fitted, "ord").select("delimiter", "column_count", "names", "schema_ord")
-    return named.join(founders, ["delimiter", "column_count", "names"]).select("ord", "schema_ord")
+    found = durable(named.join(founders, ["delimiter", "column_count", "names"]).select(*kept, "schema_ord"))
+    return blocks.join(small(found), kept).select("ord", "schema_ord")
 
 
 def schema_columns(schemas: DataFrame, columns: DataFrame, synonyms: Synonyms) -> DataFrame:

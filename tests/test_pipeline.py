@@ -278,3 +278,11 @@ def test_sketches_are_not_kept_per_distinct_value(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, None), (2, 1.5, "a ")], "k int, x double, s string")
     found = profile.distinct_values(df, {c: F.col(c) for c in df.columns})
     assert sorted((r.header, r.value or "-") for r in found.collect()) == [("k", "1"), ("k", "2"), ("s", "-"), ("s", "a"), ("s", "a "), ("x", "-0.0"), ("x", "0.0"), ("x", "1.5")]
+
+
+def test_blocks_meet_their_schemas_unshuffled(spark):
+    blocks = spark.range(2000).selectExpr("id AS ord", "',' AS delimiter", "2 AS column_count", "concat('total,col ', repeat(char(97 + id % 3), 9)) AS header_sample")
+    found = cluster_blocks(blocks, Synonyms({}))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {(r.ord, r.schema_ord) for r in found.collect()} == {(k, k % 3) for k in range(2000)}

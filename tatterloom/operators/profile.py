@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tatterloom.functions.scalars import kind_of, strip, to_iso_date, to_number
+from tatterloom.operators.durable import durable, small
 
 #: The accuracy of a sketch of 1,024 registers.
 DISTINCT_ERROR = 0.035
@@ -41,8 +42,11 @@ def prepared(cells: DataFrame) -> DataFrame:
     return found.withColumns({"_number": F.when(kind.isin("integer", "float"), to_number(F.col("_cell"))), "_date": F.when(kind == "date", to_iso_date(F.col("_cell")))})
 
 
-def measures(exact: bool = False, times: Column | None = None) -> list[Column]:
-    """The aggregates over prepared() cells, each of which stands for `times` equal ones; partial aggregation leaves a row per column and task to shuffle."""
+def measures(times: Column | None = None) -> list[Column]:
+    """The aggregates over prepared() cells; partial aggregation leaves a row per column and task to shuffle.
+
+    With `times`, the cells are counted() ones, each of which stands for so many equal ones: distinct counts are exact.
+    """
     kind = F.col("_kind")
     some = F.when(kind != "empty", F.col("_cell"))
     if times is None:
@@ -51,11 +55,16 @@ def measures(exact: bool = False, times: Column | None = None) -> list[Column]:
         count = lambda cond: F.coalesce(F.sum(F.when(cond, times)), F.lit(0)).cast("long")
     return [
         *[count(kind == k).alias(f"n_{k}") for k in ("integer", "float", "text", "date")], count(kind == "empty").alias("n_null"),
-        count(F.lit(True)).alias("total_values"), (F.count_distinct(some) if exact else F.approx_count_distinct(some, DISTINCT_ERROR)).alias("unique_estimate"),
+        count(F.lit(True)).alias("total_values"), (F.approx_count_distinct(some, DISTINCT_ERROR) if times is None else F.count(some)).alias("unique_estimate"),
         F.min("_number").alias("numeric_min"), F.max("_number").alias("numeric_max"), F.min("_date").alias("date_min"), F.max("_date").alias("date_max"),
     ]
 
 
+def counted(cells: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(…keys, value, _times, …): a row per distinct stripped cell of each key, so that it is classified once and no distinct count follows."""
+    return cells.withColumn("value", strip(F.col("value"))).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_times"), *more)
+
+
 def profile_cells(cells: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
     """Profiles of cells (…keys, value).
 
@@ -64,23 +73,30 @@ def profile_cells(cells: DataFrame, keys: list[str], exact: bool = False) -> Dat
     """
     if not exact:
         return prepared(cells).groupBy(*keys).agg(*measures())
-    once = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_times"))
-    return prepared(once).groupBy(*keys).agg(*measures(True, F.col("_times")))
+    return prepared(counted(cells, keys)).groupBy(*keys).agg(*measures(F.col("_times")))
 
 
-def profile_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def profile_rows(rows: DataFrame, headers: DataFrame, exact: bool = False) -> DataFrame:
     """Profiles (file_id, idx, header, …) of rows (file_id, line_no, cells) under headers (file_id, headers).
 
     A row that is too short has blanks for the columns that its header names. A column beyond the header counts from
     the first row that reaches it, and is then blank wherever a row is too short. Empty rows (no cell) don't count.
-    Header columns that no row reaches are there with zeros or blanks.
+    Header columns that no row reaches are there with zeros or blanks. What is found, a row per column, is kept, so
+    that cells are taken apart once and the rows don't shuffle to learn from which one a column counts. With `exact`,
+    distinct counts are exact.
     """
     rows = rows.where(F.size("cells") > 0)
     cells = rows.select("file_id", "line_no", F.posexplode("cells").alias("idx", "value"))
-    found = prepared(cells).groupBy("file_id", "idx").agg(*measures(), F.min("line_no").alias("first_line"))
-    totals = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"))
+    keys = ["file_id", "idx"]
+    if exact:
+        found = prepared(counted(cells, keys, F.min("line_no").alias("line_no"))).groupBy(*keys).agg(*measures(F.col("_times")), F.min("line_no").alias("first_line"))
+    else:
+        found = prepared(cells).groupBy(*keys).agg(*measures(), F.min("line_no").alias("first_line"))
+    found = durable(found)
+    totals = found.where("idx = 0").select("file_id", F.col("total_values").alias("rows"))  # every row has a first cell
     named = headers.select("file_id", F.posexplode("headers").alias("idx", "name"))
     late = found.join(headers.select("file_id", F.size("headers").alias("named")), "file_id").where("idx >= named").select("file_id", "idx", "first_line")
+    late = small(durable(late))
     since = rows.select("file_id", "line_no").join(late, "file_id").where("line_no >= first_line").groupBy("file_id", "idx").agg(F.count(F.lit(1)).alias("since"))
     joined = found.join(named, ["file_id", "idx"], "full").join(totals, "file_id", "left").join(since, ["file_id", "idx"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))

@@ -492,8 +492,7 @@ def signature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cells(spark, sf_dir)
     names = rows.select("file_id").distinct().withColumn("headers", F.array(*[F.lit(f"h{k}") for k in range(5)]))
-    exact = rows.select("file_id", F.posexplode("cells").alias("idx", "v")).where("trim(v) <> ''").groupBy("file_id", "idx").agg(F.count_distinct("v").alias("exact"))
-    return profile.profile_rows(rows, names).drop("unique_estimate").join(exact, ["file_id", "idx"])
+    return profile.profile_rows(rows, names, exact=True).withColumn("exact", F.col("unique_estimate")).drop("unique_estimate")
 
 
 # Contracts, targets, schemas

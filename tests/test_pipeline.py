@@ -286,3 +286,11 @@ def test_blocks_meet_their_schemas_unshuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert {(r.ord, r.schema_ord) for r in found.collect()} == {(k, k % 3) for k in range(2000)}
+
+
+def test_exact_profiles_of_ragged_rows(spark):
+    rows = spark.range(300).selectExpr("'a' AS file_id", "id AS line_no", "if(id % 100 = 50, array('1', ' x', '', 'z'), array(string(id % 7), if(id % 2 = 0, 'x', 'x ')))  AS cells")
+    found = profile.profile_rows(rows, spark.createDataFrame([("a", ["k", "v", "none"])], "file_id string, headers array<string>"), exact=True)
+    got = {r.idx: (r.header, r.unique_estimate, r.n_integer, r.n_text, r.n_null, r.total_values) for r in found.collect()}
+    assert got == {0: ("k", 7, 300, 0, 0, 300), 1: ("v", 1, 0, 300, 0, 300), 2: ("none", 0, 0, 0, 300, 300), 3: ("column_4", 1, 0, 3, 247, 250)}
+    assert "SortMergeJoin [file_id" not in "".join(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "line_no" in line)
